@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bandlens.llm import encode, language, mix, percentiles
-from bandlens.sources.tables import table
+from bandlens.llm import cube, encode, language, mix, percentiles, varied
+from bandlens.sources.tables import table, water_records
+
+
+def _varied(spark: SparkSession, d: str) -> DataFrame:
+    records = water_records(spark, d, ["label", "NIR", "SWIR1"])
+    records = records.filter(F.col("label").between(0, 4) & F.col("NIR").between(0, 1) & F.col("SWIR1").between(0, 1))
+    return varied.varied_subset(records, 4000, "sample_id", "label", {"NIR": 0.0105, "SWIR1": 0.00025})
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _varied(spark, d).filter("alone").select("sample_id")
+
+
+def p1_subset(spark: SparkSession, d: str) -> DataFrame:
+    return _varied(spark, d)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +31,22 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.log_percentiles(table(spark, d, "evolution_log"), [0.1, 0.25, 0.5, 0.75, 0.9])
 
 
+def _targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return cube.sample_to_targets(water_records(spark, d, ["scene_id", "label"]), table(spark, d, "sampling_plans"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d)[1].filter("short").select("plan_id", "label")
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d)[0]
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d)[1]
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -45,9 +76,25 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return language.detect_languages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p6_ids, p7_found, p7_sample, p7_shares, p8_found, p8_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_subset, p3_found, p3_percentiles, p4_found, p4_sample, p4_shares, p6_ids, p7_found, p7_sample, p7_shares, p8_found, p8_passages)}
+
+_RECORDS = "WITH r AS (SELECT * FROM sentinel2_water WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at DESC, row_id DESC) = 1)"
 
 SQL = {
+    "p1_found": _RECORDS
+    + """
+        , v AS (SELECT sample_id, label, NIR, SWIR1, CAST(floor(NIR / 0.0105) AS INT) AS a, CAST(floor(SWIR1 / 0.00025) AS INT) AS b
+                FROM r WHERE label BETWEEN 0 AND 4 AND NIR BETWEEN 0 AND 1 AND SWIR1 BETWEEN 0 AND 1)
+        SELECT sample_id FROM v AS x WHERE NOT EXISTS (
+            SELECT 1 FROM v AS y WHERE y.label = x.label AND y.a BETWEEN x.a - 2 AND x.a + 2 AND y.b BETWEEN x.b - 2 AND x.b + 2
+            AND y.sample_id <> x.sample_id AND abs(y.NIR - x.NIR) < 0.0105 AND abs(y.SWIR1 - x.SWIR1) < 0.00025)
+    """,
+    "p4_found": _RECORDS
+    + """
+        SELECT p.plan_id, p.label FROM sampling_plans AS p
+        LEFT JOIN (SELECT scene_id, label, count(*) AS n FROM r GROUP BY 1, 2) AS c ON c.scene_id = p.scene_id AND c.label = p.label
+        WHERE coalesce(c.n, 0) < greatest(coalesce(p.min_count, 0), CAST(floor(p.sample_size * p.target_share + 0.5) AS INT))
+    """,
     "p3_found": """
         WITH entries AS (
             SELECT DISTINCT run_id, entry_no, regexp_replace(lower(trim(operation_name)), '[ -]', '_', 'g') AS operation_name,
