@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandlens.llm import cube, encode, language, mix, percentiles, varied
+from bandlens.llm import cluster, cube, encode, language, mix, percentiles, varied
 from bandlens.sources.tables import table, water_records
 
 
@@ -23,6 +23,25 @@ def p1_subset(spark: SparkSession, d: str) -> DataFrame:
     return _varied(spark, d)
 
 
+_BANDS = ["Blue", "Green", "Red", "SWIR2"]
+
+
+def _banded(spark: SparkSession, d: str) -> DataFrame:
+    records = water_records(spark, d, _BANDS)
+    for c in _BANDS:
+        records = records.filter(F.col(c).between(0, 1))
+    return records
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = cluster.linked_clusters(_banded(spark, d), "sample_id", _BANDS, 0.0105, 2, 40)
+    return found.filter("sample_id <> head").select(F.col("head").alias("head_id"), "sample_id")
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.clusters(_banded(spark, d), "sample_id", _BANDS, 0.0105)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.unusual_medians(table(spark, d, "evolution_log"))
 
@@ -76,7 +95,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return language.detect_languages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_subset, p3_found, p3_percentiles, p4_found, p4_sample, p4_shares, p6_ids, p7_found, p7_sample, p7_shares, p8_found, p8_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_subset, p2_found, p2_clusters, p3_found, p3_percentiles, p4_found, p4_sample, p4_shares, p6_ids, p7_found, p7_sample, p7_shares, p8_found, p8_passages)}
 
 _RECORDS = "WITH r AS (SELECT * FROM sentinel2_water WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at DESC, row_id DESC) = 1)"
 
