@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandlens.plans.components import components
-from bandlens.plans.stages import small, staged
+from bandlens.plans.stages import BROADCAST_ROWS, small, staged
 
 EDGE = 1e-9
 MAX_LEAVES = 1500
@@ -196,12 +196,20 @@ def linked_leaves(rows: DataFrame, key: str, dims: list[str], tolerance: float,
     fields = [f"{c} {t}" for c, t in placed.dtypes]
     placed = staged(placed.groupBy("cluster").applyInPandas(join_block, ", ".join([*fields, f"component {kind}"])), "joined")
 
-    offsets = [o for o in itertools.product(range(-2, 3), repeat=d) if o > (0,) * d]
-    moved = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"o{i}") for i, x in enumerate(o)]) for o in offsets]))
+    # Every leaf meets those up to two away in each dimension; of a pair and its mirror image, one.
     bounds = [f"{e}{i}" for e in ("lo", "hi") for i in range(d)]
-    left = placed.select(*[F.col(c).alias(f"a_{c}") for c in ["leaf", "component", "n", *bounds]], *cell, moved.alias("o"))
-    left = left.withColumns({c: F.col(c) + F.col(f"o.o{i}") for i, c in enumerate(cell)}).withColumn("touch", F.greatest(*[F.abs(F.col(f"o.o{i}")) for i in range(d)]) <= 1 if d > 1 else F.abs(F.col("o.o0")) <= 1)
+    left = placed.select(*[F.col(c).alias(f"a_{c}") for c in ["leaf", "component", "n", *bounds]], *cell)
+    for i in range(d):
+        left = left.withColumn(f"o{i}", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    side = sum((F.col(f"o{i}") * 5 ** (d - 1 - i) for i in range(1, d)), F.col("o0") * 5 ** (d - 1))
+    touch = F.lit(True)
+    for i in range(d):
+        touch &= F.abs(F.col(f"o{i}")) <= 1
+    left = left.filter(side > 0).withColumn("touch", touch).withColumns({c: F.col(c) + F.col(f"o{i}") for i, c in enumerate(cell)}).drop(*[f"o{i}" for i in range(d)])
     right = placed.select(*[F.col(c).alias(f"b_{c}") for c in ["leaf", "component", "n", *bounds]], *cell)
+    # The optimiser knows nothing of the explosion: the other side is the one to broadcast, if it is small.
+    n_leaves = placed.count()
+    right = small(right, n_leaves) if n_leaves <= BROADCAST_ROWS else right.hint("merge")
     t = F.lit(tolerance)
     gaps = [F.greatest(F.col(f"a_lo{i}") - F.col(f"b_hi{i}"), F.col(f"b_lo{i}") - F.col(f"a_hi{i}")) for i in range(d)]
     spans = [F.greatest("a_hi%d" % i, "b_hi%d" % i) - F.least("a_lo%d" % i, "b_lo%d" % i) for i in range(d)]
@@ -212,7 +220,7 @@ def linked_leaves(rows: DataFrame, key: str, dims: list[str], tolerance: float,
     inside = F.lit(True)
     for s in spans:
         inside &= s < t
-    pairs = staged(pairs.withColumn("sure", sure | inside).drop("o", "touch", *cell), "leaf-pairs")
+    pairs = staged(pairs.withColumn("sure", sure | inside).drop("touch", *cell), "leaf-pairs")
 
     edges = pairs.filter("sure").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).distinct()
     joined = components(edges)
