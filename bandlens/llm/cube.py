@@ -60,7 +60,11 @@ def fly(keys: list, pi: list[float], u: list[float], waiting: dict, rows: list)
 def draw(units: DataFrame, plan: str, category: str, key: str, pi: str, seed: int = 0) -> DataFrame:
     """The records of a balanced sample: ``plan``, ``category``, ``key``. ``units`` has these and ``pi``."""
     types = dict(units.dtypes)
-    u = (F.pmod(F.xxhash64(F.col(plan), F.col(key), F.lit(seed)), F.lit(2**52)) / F.lit(float(2**52))).alias("u")
+
+    def uniform(phase: int):
+        # Each phase has its own numbers: an unresolved record's first one has already decided that it is unresolved.
+        return (F.pmod(F.xxhash64(F.col(plan), F.col(key), F.lit(2 * seed + phase)), F.lit(2**52)) / F.lit(float(2**52))).alias("u")
+
     schema = f"`{plan}` {types[plan]}, `{category}` {types[category]}, `{key}` {types[key]}, pi double"
 
     def flight(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,9 +89,9 @@ def draw(units: DataFrame, plan: str, category: str, key: str, pi: str, seed: in
         won += [row for p, row in by_plan.values() if rng.random() < p]
         yield pd.DataFrame(won, columns=[plan, category, key]).assign(pi=1.0)
 
-    first = units.select(plan, category, key, F.col(pi).cast("double").alias("pi"), u).filter("pi > 0")
+    first = units.select(plan, category, key, F.col(pi).cast("double").alias("pi"), uniform(0)).filter("pi > 0")
     flown = staged(first.mapInPandas(flight, schema), "flown")
-    open_units = flown.filter("pi < 1").select("*", u).repartition(plan)
+    open_units = flown.filter("pi < 1").select("*", uniform(1)).repartition(plan)
     landed = staged(open_units.mapInPandas(landing, schema), "landed")
     return flown.filter("pi = 1").unionByName(landed).drop("pi")
 
