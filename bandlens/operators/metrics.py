@@ -167,7 +167,7 @@ def _js(d: DataFrame, by: list[str]) -> DataFrame:
     """``by``, ``js``: Jensen-Shannon divergence (bits) of 50-bin histograms over [0, 1] with the right edge closed."""
     bins = d.withColumn("_b", F.least(F.floor(F.col("z") * BINS), F.lit(BINS - 1))).groupBy(*by, "_b").agg(*[F.sum(F.when(F.col("y") == k, 1).otherwise(0)).alias(f"_h{k}") for k in (0, 1)])
     w = Window.partitionBy(*by)
-    p = [(F.col(f"_h{k}") / F.sum(f"_h{k}").over(w) + BIN_FLOOR) / (1 + BINS * BIN_FLOOR) for k in (0, 1)]
+    p = [(F.coalesce(F.try_divide(F.col(f"_h{k}"), F.sum(f"_h{k}").over(w)), F.lit(0.0)) + BIN_FLOOR) / (1 + BINS * BIN_FLOOR) for k in (0, 1)]
     q = bins.select(*by, p[0].alias("_p0"), p[1].alias("_p1"))
     term = lambda c: F.col(c) * F.log2(2 * F.col(c) / (F.col("_p0") + F.col("_p1")))
     # Bins that hold nothing have equal floors on both sides and add nothing.
@@ -184,7 +184,7 @@ def _emd(d: DataFrame, by: list[str]) -> DataFrame:
     # parts over the values alone: sum of (level before the value - level after it) x value would lose
     # the absolute value, so the next value is needed; it comes from the range-partitioned order.
     nxt = _next_value(cum, by)
-    gap = F.abs((F.col("before__c0") + F.col("_c0")) / F.col("_n0") - (F.col("before__c1") + F.col("_c1")) / F.col("_n1"))
+    gap = F.abs(F.try_divide(F.col("before__c0") + F.col("_c0"), F.col("_n0")) - F.try_divide(F.col("before__c1") + F.col("_c1"), F.col("_n1")))
     return nxt.groupBy(*by).agg(F.coalesce(F.sum(gap * (F.col("_next") - F.col("z"))), F.lit(0.0)).alias("emd"))
 
 

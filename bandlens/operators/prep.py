@@ -13,7 +13,9 @@ from bandlens.plans.stages import staged
 
 def labelled(df: DataFrame, label: str) -> DataFrame:
     """``df`` with NaN labels as null: unlabelled either way."""
-    return df.withColumn(label, F.when(~F.isnan(F.col(label).cast("double")), F.col(label)))
+    if dict(df.dtypes)[label] not in ("double", "float"):
+        return df
+    return df.withColumn(label, F.when(~F.isnan(label), F.col(label)))
 
 
 def encode_labels(df: DataFrame, label: str, out: str) -> tuple[DataFrame, DataFrame]:
@@ -59,10 +61,6 @@ def zscore(df: DataFrame, columns: list[str], train: Column | None = None, least
 # ---- splits ------------------------------------------------------------------------------------
 
 
-def _shuffled(key: str, seed: int) -> tuple[Column, Column]:
-    return F.xxhash64(F.col(key), F.lit(seed)), F.col(key)
-
-
 def quotas(counts: list[tuple], train_size: float, mode: str) -> dict:
     """Training rows of each class: 'class' gives each ``train_size`` (at most 1: a share of the class); 'proportional' shares a total by floors and largest remainders."""
     if mode == "class":
@@ -83,7 +81,7 @@ def split(df: DataFrame, key: str, label: str, train_size: float, mode: str = "c
     rows than its quota: 'error', or 'both' (all its rows are in both splits, as repeated rows).
     ``min_test``: so many test rows of each class at least, taken from its training rows again (as
     repeated rows) where it has fewer. ``mode`` 'random' ignores the classes. The training rows of each
-    class are its first by the shuffle: the counts and one rank by class (whose sort spills).
+    class are its first by the shuffle.
     """
     if mode not in ("class", "proportional", "random"):
         raise ValueError(f"unknown split mode {mode!r}")
@@ -95,15 +93,19 @@ def split(df: DataFrame, key: str, label: str, train_size: float, mode: str = "c
     if short and insufficient != "both":
         raise ValueError(f"classes with too few rows: {sorted(map(str, short))}")
     size = dict(counts)
-    quota = F.coalesce(*[F.when(group == F.lit(c), F.lit(q)) for c, q in want.items()], F.lit(0)) if want else F.lit(0)
-    number = F.coalesce(*[F.when(group == F.lit(c), F.lit(size[c])) for c in want], F.lit(0)) if want else F.lit(0)
-    order = Window.partitionBy(group).orderBy(*_shuffled(key, seed))
-    d = d.withColumn("_rank", F.when(F.col(label).isNotNull(), F.row_number().over(order)))
+    # Ranks in the shuffle by range-partitioned offsets: no task sorts a class, and equal hashes are ranked by the key.
+    d = staged(d.withColumn("_g", group).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), "split")
+    has = d.filter(F.col(label).isNotNull())
+    place = cumulated(has.groupBy("_g", "_h").agg(F.count(F.lit(1)).alias("_n")), "_h", ["_n"], ["_g"]).select("_g", "_h", "before__n")
+    ranked = has.join(place, ["_g", "_h"]).withColumn("_rank", F.col("before__n") + F.row_number().over(Window.partitionBy("_g", "_h").orderBy(key)))
+    rest = d.filter(F.col(label).isNull()).withColumn("_rank", F.lit(None).cast("long"))
+    d = ranked.drop("before__n").unionByName(rest)
+    quota, number = (F.coalesce(*[F.when(F.col("_g") == F.lit(c), F.lit(x)) for c, x in m.items()], F.lit(0)) if m else F.lit(0) for m in (want, {c: size[c] for c in want}))
     both = F.array(F.lit("train"), F.lit("test"))
     one = lambda s: F.array(F.lit(s))
     again = F.lit(min_test) - F.greatest(number - quota, F.lit(0))
     parts = F.when(F.col("_rank").isNull(), F.array(F.lit(None).cast("string"))).when(quota > number, both).when(F.col("_rank") > quota, one("test")).when(F.col("_rank") <= again, both).otherwise(one("train"))
-    return d.withColumn("split", F.explode_outer(parts)).drop("_rank")
+    return d.withColumn("split", F.explode_outer(parts)).drop("_rank", "_g", "_h")
 
 
 def blocks(pixels: DataFrame, label: str, size: int, row: str = "row", col: str = "col") -> DataFrame:

@@ -22,7 +22,10 @@ def latest_by(df: DataFrame, key: str, at: str, tie: str, columns: list[str]) ->
     fixed size: a hash aggregate with a map-side combine, and no sort, window or hot-key problem.
     A column may be null in the latest row and then stays null.
     """
-    micros = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**62)))
+    t = F.col(at)  # by its fields: a time without zone must not pass through a session's zone
+    clock = F.hour(t) * F.lit(3600) + F.minute(t) * F.lit(60)
+    micros = F.unix_date(t.cast("date")).cast("long") * 86_400_000_000 + clock.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    micros = F.coalesce(micros, F.lit(-(2**62)))
     order: Column = micros.cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + F.coalesce(F.col(tie), F.lit(0)).cast("decimal(19,0)")
     return (
         df.filter(F.col(key).isNotNull())
