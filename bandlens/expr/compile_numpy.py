@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 import numpy as np
 
@@ -28,27 +29,51 @@ def reduce_bands(x: np.ndarray, name: str) -> np.ndarray:
         return {"mean": np.mean, "sum": np.sum, "max": np.max, "min": np.min, "median": np.median, "std": np.std, "var": np.var}[stat](x, axis=-1)
 
 
-def evaluate(node: Node | FormulaSet, x: np.ndarray) -> np.ndarray:
-    """Values for the rows of ``x`` (n, d): a vector, or a column for each formula of a set. Windows need a grid and raise ValueError."""
-    if isinstance(node, FormulaSet):
-        return np.stack([evaluate(f, x) for f in node.formulas], 1)
-    known: dict[Node, np.ndarray] = {}
-
-    def value(n: Node) -> np.ndarray:
-        if n in known:
-            return known[n]
+Step = tuple[Callable[..., np.ndarray], tuple[int, ...]]
+
+
+def compiled(node: Node | FormulaSet) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of the rows ``x`` (n, d): a list of steps over numbered slots, equal subtrees once. Windows raise ValueError."""
+    slots: dict[Node, int] = {}
+    steps: list[Step | int | float | Aggregation] = []
+
+    def place(n: Node) -> int:
+        if n in slots:
+            return slots[n]
         if isinstance(n, Constant):
-            v = np.full(len(x), n.value)
+            step = float(n.value)
         elif isinstance(n, Variable):
-            v = x[:, n.index].astype(float)
+            step = n.index
         elif isinstance(n, Aggregation):
             if n.spatial is not None:
                 raise ValueError("a window needs a grid")
-            v = reduce_bands(x[:, n.start : n.end + 1].astype(float), n.stat)
+            step = n
         else:
             assert isinstance(n, Operation)
-            v = operator(n.name).numpy(*[value(c) for c in n.operands])
-        known[n] = v
-        return v
+            step = (operator(n.name).numpy, tuple(place(c) for c in n.operands))
+        steps.append(step)
+        slots[n] = len(steps) - 1
+        return slots[n]
+
+    wanted = [place(f) for f in (node.formulas if isinstance(node, FormulaSet) else (node,))]
 
-    return value(node)
+    def run(x: np.ndarray) -> np.ndarray:
+        values: list[np.ndarray | float] = []
+        for step in steps:
+            if isinstance(step, tuple):
+                values.append(step[0](*[values[i] for i in step[1]]))
+            elif isinstance(step, float):
+                values.append(step)
+            elif isinstance(step, int):
+                values.append(x[:, step])
+            else:
+                values.append(reduce_bands(x[:, step.start : step.end + 1], step.stat))
+        out = [np.broadcast_to(values[i], len(x)) for i in wanted]
+        return np.stack(out, 1) if isinstance(node, FormulaSet) else np.array(out[0], float)
+
+    return run
+
+
+def evaluate(node: Node | FormulaSet, x: np.ndarray) -> np.ndarray:
+    """Values for the rows of ``x`` (n, d): a vector, or a column for each formula of a set."""
+    return compiled(node)(np.asarray(x, float))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandlens.expr.ast import FormulaSet
-from bandlens.expr.compile_numpy import evaluate
+from bandlens.expr.compile_numpy import compiled
 from bandlens.expr.simplify import simplify
 from bandlens.expr.text import from_json, to_json
 from bandlens.operators.prep import poisson
@@ -71,17 +71,17 @@ def evaluate_batch(df: DataFrame, formulas: list[Formula], features: list[str],
     kw = params or {}
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        candidates = [decode(t) for t in sent.value]
+        candidates = [compiled(decode(t)) for t in sent.value]
         total = np.zeros((len(candidates), 6))
         for b in batches:
             x, t, w = b.iloc[:, : len(features)].to_numpy(float), b["_y"].to_numpy(float), b["_w"].to_numpy(float)
             ok = ~(np.isnan(x).any(1) | np.isnan(t) | np.isnan(w))
-            x, t, w = x[ok], t[ok], w[ok]
+            x, t, w = np.asfortranarray(x[ok]), t[ok], w[ok]
             if not len(t):
                 continue
             for i, f in enumerate(candidates):
                 with np.errstate(all="ignore"):
-                    p = out(evaluate(f, x), out_func)
+                    p = out(f(x), out_func)
                     if metric == "pearson":
                         total[i] += [w.sum(), (w * p).sum(), (w * t).sum(), (w * p * t).sum(), (w * p * p).sum(), (w * t * t).sum()]
                     else:
@@ -89,6 +89,10 @@ def evaluate_batch(df: DataFrame, formulas: list[Formula], features: list[str],
         yield pd.DataFrame(total, columns=list("abcdef")).assign(i=np.arange(len(candidates)))
 
     d = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)], F.col(y).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+    # Work is candidates x rows, all of it CPU: few input splits must not leave cores idle.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(formulas) >= 16 and d.rdd.getNumPartitions() < cores:
+        d = d.repartition(cores)
     rows = d.mapInPandas(sums, ", ".join(f"{c} double" for c in "abcdef") + ", i int").groupBy("i").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
     result = [0.0] * len(formulas)
     for r in rows:
