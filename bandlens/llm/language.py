@@ -41,7 +41,7 @@ NAMES = {
     "sv": ("sv", "swe", "swedish"),
     "pl": ("pl", "pol", "polish"),
 }
-BUCKETS, DIMENSIONS, STEPS = 2**18, 16, 1000
+BUCKETS, DIMENSIONS, STEPS = 2**18, 16, 500
 #: A bound on the labelled documents the model is fitted on, for each language.
 LABELLED = 120
 #: Words in a row that make a passage.
