@@ -4,8 +4,8 @@ Model: a word is the sum of hashed embeddings of its subwords (the word itself a
 5-letter pieces, lower case, without accents, in 2^18 buckets); a passage is the average over its
 subwords, and a linear softmax gives the languages. Embeddings and softmax are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled documents (by default the 120
-of each language that come first by a hash of the id). Labels may be wrong: after a first training,
-lines whose label the model finds unlikely are left out and it is trained anew. A tenth of the lines
+of each language that come first by a hash of the id). Labels may be wrong and texts mixed: lines
+whose label is unlikely to a model of other documents are left out first. A tenth of the lines
 is held out; on it the softmax's temperature is fitted and the margin is chosen below which a
 passage is rejected (has no language).
 
@@ -41,9 +41,12 @@ NAMES = {
     "sv": ("sv", "swe", "swedish"),
     "pl": ("pl", "pol", "polish"),
 }
-BUCKETS, DIMENSIONS, STEPS = 2**18, 16, 500
+BUCKETS, DIMENSIONS, STEPS = 2**18, 16, 400
 #: A bound on the labelled documents the model is fitted on, for each language.
 LABELLED = 120
+#: Parts of the labelled documents that are judged by a model of the others; the leads in logits from which a label is
+#: doubted and replaced.
+FOLDS, DOUBT, SURE = 3, 2.0, 1.0
 #: Words in a row that make a passage.
 IN_A_ROW = 8
 REMEMBERED = 300_000
@@ -67,7 +70,7 @@ def plain(word: str) -> str:
     word = word.lower()
     if word.isascii():
         return word
-    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).replace("ł", "l").replace("ß", "ss")
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).replace("ł", "l").replace("ß", "ss")
 
 
 def buckets(word: str) -> list[int]:
@@ -119,19 +122,25 @@ def _flat(data: _Lines, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _descend(data: _Lines, labels: np.ndarray, rows: np.ndarray, seed: int, steps: int, batch: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, softmax weights and bias after so many steps; the rate falls linearly to 0, rare languages weigh more."""
+    """Embeddings, softmax weights and bias after so many steps; the rate falls linearly to 0, and rare languages are drawn more often."""
     rng = np.random.default_rng(seed)
     k = len(LANGUAGES)
     embed = np.zeros((BUCKETS, DIMENSIONS), np.float32)  # subwords that are never met say nothing
     weights, bias = rng.normal(0, 0.6, (DIMENSIONS, k)).astype(np.float32), np.zeros(k, np.float32)
-    share = np.bincount(labels[rows], minlength=k) / len(rows)
-    balance = (1 / np.maximum(share, 0.02)).astype(np.float32)
-    balance /= balance[labels[rows]].mean()
-    queue = np.zeros(0, np.int64)
+    own = [rows[labels[rows] == i] for i in range(k)]
+    queues = [np.zeros(0, np.int64) for _ in range(k)]
+    present = [i for i in range(k) if len(own[i])]
+    # Rare languages are drawn more often than they occur: by the roots of the numbers of their lines.
+    odds = np.sqrt([len(own[i]) for i in present])
+    each = {i: max(2, round(batch * o)) for i, o in zip(present, odds / odds.sum(), strict=True)}
     for step in range(steps):
-        if len(queue) < batch:
-            queue = np.concatenate([queue, rng.permutation(rows)])
-        some, queue = queue[:batch], queue[batch:]
+        some = []
+        for i in present:
+            while len(queues[i]) < each[i]:
+                queues[i] = np.concatenate([queues[i], rng.permutation(own[i])])
+            some.append(queues[i][: each[i]])
+            queues[i] = queues[i][each[i] :]
+        some = np.concatenate(some)
         grams, line = _flat(data, some)
         if not len(grams):
             continue
@@ -145,7 +154,7 @@ def _descend(data: _Lines, labels: np.ndarray, rows: np.ndarray, seed: int, step
         p = np.exp(p - p.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(some)), labels[some]] -= 1
-        g = p * (balance[labels[some]] / len(some))[:, None]
+        g = p / len(some)
         back = counts.T @ (g @ weights.T)
         weights -= rate * 0.5 * (mean.T @ g)
         bias -= rate * 0.05 * g.sum(0)
@@ -161,31 +170,45 @@ def _logits(data: _Lines, rows: np.ndarray, vectors: np.ndarray, bias: np.ndarra
 
 def train(documents: list[tuple[str, str]], seed: int = 0) -> Model:
     """Fit on (text, language) pairs; without any, every passage is rejected."""
-    lines, labels = [], []
-    for text, lang in documents:
+    lines, labels, fold = [], [], []
+    for d, (text, lang) in enumerate(documents):
         for line in text.split("\n"):
             words = line.split()
-            if len(words) >= 4:
-                for a in range(0, len(words), 24):  # long lines as pieces, so that lengths are like those of sentences
-                    if len(words) - a >= 4:
-                        lines.append(" ".join(words[a : a + 24]))
-                        labels.append(LANGUAGES.index(lang))
+            for a in range(0, len(words), 24):  # long lines as pieces, so that lengths are like those of sentences
+                if len(words) - a >= 4:
+                    lines.append(" ".join(words[a : a + 24]))
+                    labels.append(LANGUAGES.index(lang))
+                    fold.append(d % FOLDS)
     if len(set(labels)) < 2:
         return Model(np.zeros((BUCKETS, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32), 1.0, np.inf)
-    data, y = _Lines(lines), np.array(labels)
-    held = np.random.default_rng(seed).random(len(lines)) < 0.1
-    rows, test = np.flatnonzero(~held), np.flatnonzero(held)
-    for clean in (False, True):
-        embed, weights, bias = _descend(data, y, rows, seed, STEPS if clean else STEPS // 2)
+    data, y, fold = _Lines(lines), np.array(labels), np.array(fold)
+    # Documents are mixed or wrongly labelled: a line whose label is unlikely to a model that has not seen its document is left out.
+    keep = np.ones(len(y), bool)
+    for f in range(FOLDS):
+        seen, judged = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        if len(set(y[seen])) < 2:
+            continue
+        embed, weights, bias = _descend(data, y, seen, seed, STEPS // 2)
         vectors = embed @ weights
-        if not clean:
-            keep = []
-            for some in np.array_split(np.arange(len(lines)), len(lines) // 2000 + 1):
-                z, _ = _logits(data, some, vectors, bias)
-                keep.append(z[np.arange(len(some)), y[some]] >= z.max(1) - 0.5)
-            keep = np.concatenate(keep)
-            if keep.mean() > 0.5:
-                rows, test = rows[keep[rows]], test[keep[test]]
+        for some in np.array_split(judged, len(judged) // 2000 + 1):
+            z, _ = _logits(data, some, vectors, bias)
+            keep[some] = (z[np.arange(len(some)), y[some]] >= z.max(1) - DOUBT) | ~np.isin(y[some], y[seen])
+    held = np.random.default_rng(seed).random(len(lines)) < 0.1
+    rows, test = np.flatnonzero(~held & keep), np.flatnonzero(held & keep)
+    if len(set(y[rows])) < 2:
+        rows = np.flatnonzero(~held)
+    embed, weights, bias = _descend(data, y, rows, seed, STEPS)
+    vectors = embed @ weights
+    # Once more, with all lines: those of whose language the model is sure have that one, whatever their label.
+    for some in np.array_split(np.arange(len(y)), len(y) // 2000 + 1):
+        z, _ = _logits(data, some, vectors, bias)
+        top = np.sort(z, axis=1)
+        sure = top[:, -1] - top[:, -2] >= SURE
+        keep[some] = sure | (z.argmax(1) == y[some])
+        y[some] = np.where(sure, z.argmax(1), y[some])
+    rows, test = np.flatnonzero(~held & keep), np.flatnonzero(held & keep)
+    embed, weights, bias = _descend(data, y, rows, seed, STEPS)
+    vectors = embed @ weights
     scale, margin = 4.0, 1.0
     if len(test) > 20:
         z, _ = _logits(data, test, vectors, bias)
