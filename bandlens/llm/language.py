@@ -44,6 +44,8 @@ NAMES = {
 BUCKETS, DIMENSIONS, STEPS = 2**18, 16, 400
 #: A bound on the labelled documents the model is fitted on, for each language.
 LABELLED = 120
+#: Longer texts are not trained on (the driver holds the sample).
+LONGEST = 100_000
 #: Parts of the labelled documents that are judged by a model of the others; the leads in logits from which a label is
 #: doubted and replaced.
 FOLDS, DOUBT, SURE = 3, 2.0, 1.0
@@ -358,9 +360,9 @@ def _worker(model) -> Detector:
 def training_documents(df: DataFrame, key: str, text: str, lang: str, labelled: int = LABELLED) -> DataFrame:
     """At most ``labelled`` labelled texts of each language: the first by a hash of their id."""
     some = df.select(F.col(text).alias("text"), named_language(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(key).alias("k"))
-    some = some.filter("lang is not null and length(text) >= 40")
+    some = some.filter(f"lang is not null and length(text) between 40 and {LONGEST}")
     keys = some.select("lang", "h", "k").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))).filter(F.col("rn") <= labelled)
-    return some.join(F.broadcast(keys.drop("rn")), ["lang", "h", "k"], "left_semi").select(F.substring("text", 1, 20_000).alias("text"), "lang")
+    return some.join(F.broadcast(keys.drop("rn")), ["lang", "h", "k"], "left_semi").select("text", "lang")
 
 
 def detect_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", labelled: int = LABELLED, seed: int = 0) -> DataFrame:
