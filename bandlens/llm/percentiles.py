@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,12 @@ def compact(levels: list[np.ndarray], err2: float, k: int, rng: np.random.Genera
     return out, err2
 
 
+def _rng(seed: int) -> np.random.Generator:
+    """Random numbers of a task: the same ones if it runs again."""
+    task = TaskContext.get()
+    return np.random.default_rng([seed, task.partitionId() if task else 0])
+
+
 def _schema(keys: list[T.StructField]) -> T.StructType:
     return T.StructType([*keys, T.StructField("n", T.LongType()), T.StructField("err2", T.DoubleType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.DoubleType()))])
 
@@ -98,7 +105,7 @@ def sketched(values: DataFrame, keys: list[str], value: str, k: int = K, seed: i
         return _batch([c.take(first) for c in columns], names, n, err2, sizes, items, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, hash(str(id(batches))) % 2**32])
+        rng = _rng(seed)
         held, rows = [], 0
         for b in batches:
             held.append(b)
@@ -156,7 +163,7 @@ def merged(sketches: DataFrame, keys: list[str], k: int = K, seed: int = 1) -> D
         return _batch([c.take(first) for c in columns], names, n, err2, sizes, items, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, hash(str(id(batches))) % 2**32])
+        rng = _rng(seed)
         open_group: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
