@@ -45,7 +45,8 @@ class Estimator:
 
     ``iterations``, ``max_complexity``, ``selection`` ('accuracy', 'score' or 'best'), ``stop`` (an error
     to reach, or a function of the search), ``callbacks`` with ``callback_every``, ``warm_start``,
-    ``sample_rows``, ``seed``, ``digits`` (of shown constants).
+    ``sample_rows``, ``seed``, ``digits`` (of shown constants). A loss of one's own is ``custom`` (with
+    ``custom_greater``); it reaches the workers by value and is not saved with a model.
     """
 
     metric, out_func = "mse", None
@@ -202,7 +203,7 @@ class Estimator:
     def save(self, spark: SparkSession, path: str, keep_populations: bool = False, keep_log: bool = False) -> None:
         """``archive`` (Parquet), ``params`` (JSON) and, if kept, ``states`` and ``log``; no pickles."""
         self.archive(spark, True).write.mode("overwrite").parquet(f"{path}/archive")
-        params = {"kind": type(self).__name__, "features": self.features, "classes": self.classes, "iterations": self.iterations, "max_complexity": self.max_complexity, "selection": self.selection, "seed": self.seed, "digits": self.digits, "settings": asdict(self.settings), "space": self.space_params, "limits": self.limit_params, "zscores": self.zscores}
+        params = {"kind": type(self).__name__, "features": self.features, "classes": self.classes, "iterations": self.iterations, "max_complexity": self.max_complexity, "selection": self.selection, "seed": self.seed, "digits": self.digits, "settings": {k: v for k, v in asdict(self.settings).items() if k not in ("custom", "custom_greater")}, "space": self.space_params, "limits": self.limit_params, "zscores": self.zscores}
         spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
         if keep_populations:
             spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(self.search.states)], "island int, state string").write.mode("overwrite").parquet(f"{path}/states")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,10 +55,17 @@ class Settings:
     fraction_replaced_hof: float = 0.0614
     top_n: int = 12
     logging: bool = False
+    #: A loss of one's own, (y, prediction, weights or None, **metric_params) -> float, used instead of the metric.
+    custom: Callable | None = None
+    custom_greater: bool = False
 
     @property
     def greater(self) -> bool:
-        return METRICS[self.metric].greater
+        return self.custom_greater if self.custom else METRICS[self.metric].greater
+
+    @property
+    def loss(self) -> Callable:
+        return self.custom or LOSSES[self.metric]
 
 
 def out(values: np.ndarray, name: str | None) -> np.ndarray:
@@ -89,7 +97,7 @@ class Judge:
         x, y, w = (self.x, self.y, self.w) if rows is None else (self.x[rows], self.y[rows], None if self.w is None else self.w[rows])
         with np.errstate(all="ignore"):
             p = out(evaluate(f, x), self.s.out_func)
-            value = LOSSES[self.s.metric](y, p, w, **self.s.metric_params)
+            value = self.s.loss(y, p, w, **self.s.metric_params)
         if self.s.penalty:
             formulas = f.formulas if isinstance(f, FormulaSet) else (f,)
             c = [v for g in formulas for v in (constants(g) if self.s.regularise_bias else regularised_constants(g))]

@@ -189,7 +189,7 @@ class Search:
             if key not in new or cost < new[key][1]:
                 new[key] = (f, cost)
         new = {k: v for k, v in new.items() if k not in self.archive or encode(self.archive[k][0]) != encode(v[0])}
-        if self.s.metric in SUMMABLE and self.s.penalty is None and self.s.out_func != "zscore":
+        if self.s.custom is None and self.s.metric in SUMMABLE and self.s.penalty is None and self.s.out_func != "zscore":
             keys = list(new)
             errors = evaluate_batch(df, [new[k][0] for k in keys], features, y, weight, self.s.metric, self.s.out_func, self.s.metric_params)
             new = {k: (new[k][0], -e if self.s.greater else e) for k, e in zip(keys, errors, strict=True)}

@@ -155,6 +155,13 @@ def test_transformer_and_stop(spark):
         FormulaRegressor(NAMES, unknown=1)
 
 
+def test_own_loss(spark):
+    d = _table(spark)
+    e = FormulaRegressor(NAMES, seed=4, custom=lambda y, p, w, power=2: float((np.abs(y - p) ** power).mean()), metric_params={"power": 4}, **SMALL).fit(d, "y")
+    r = e.entries()[-1]
+    assert np.isclose(with_formula(d, decode(r["json"]), "v").agg(F.avg(F.pow(F.col("y") - F.col("v"), F.lit(4)))).first()[0], r["error"], rtol=1e-4)
+
+
 def test_batch_evaluation_over_partitions(spark):
     d = _table(spark).withColumn("w", F.col("id") % 3 + 0.0)
     for m in ("mse", "rmse", "mae", "pearson"):
