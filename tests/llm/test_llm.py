@@ -47,6 +47,26 @@ def test_subset_covers_kinds_evenly_and_swaps_raise_dispersion():
     assert start.sum() == end.sum() == 10 and (kind[end] == 1).sum() == 5 and total(end) > total(start)
 
 
+def test_subset_of_more_kinds_than_its_size_is_a_local_optimum_over_kinds():
+    rng = np.random.default_rng(2)
+    x = rng.random((240, 2))
+    kind = np.sort(rng.integers(0, 120, 240))
+    kind = np.unique(kind, return_inverse=True)[1]
+    none = np.zeros(240, bool)
+    total = lambda c: np.sqrt(((x[c][:, None] - x[c][None]) ** 2).sum(2)).sum()
+    x /= np.ptp(x, axis=0)
+    for size in (30, 130):
+        c = varied.disperse(x, kind, none, size)
+        counts = np.bincount(kind[c], minlength=kind.max() + 1)
+        assert c.sum() == size and (counts.max() == 1 if size == 30 else counts.min() == 1)
+        for o in np.flatnonzero(c):  # no allowed swap raises the sum
+            for i in np.flatnonzero(~c):
+                if kind[i] == kind[o] or counts[kind[i]] < counts[kind[o]]:
+                    d = c.copy()
+                    d[o], d[i] = False, True
+                    assert total(d) <= total(c) + 1e-6
+
+
 def test_subset_awkward(spark):
     schema = "id long, g int, a double, b double"
     nan = float("nan")
