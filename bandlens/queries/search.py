@@ -39,18 +39,18 @@ def search_batch_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def search_regression(spark: SparkSession, d: str) -> DataFrame:
-    """A short search; its archive. Random, so its invariants are checked in the tests."""
-    e = FormulaRegressor(["x0", "x1", "x2"], iterations=2, populations=4, population_size=12, cycles=15, max_complexity=13, sample_rows=2000, seed=7)
+    """A search with the default parameters; its archive. Random, so its invariants are checked in the tests."""
+    e = FormulaRegressor(["x0", "x1", "x2"], seed=7)
     return e.fit(_tabular(spark, d), "y", "w").archive(spark, True).drop("json")
 
 
 @query()
 def search_classification(spark: SparkSession, d: str) -> DataFrame:
-    """A short search for the classes of labelled pixels; predicted by true class."""
+    """A search with the default parameters for the classes of labelled pixels; predicted by true class."""
     rows = table(spark, d, "sentinel2_water").filter(F.col("label").between(0, 4)).select("row_id", "label", *_BANDS)
     for c in _BANDS:
         rows = rows.filter(F.col(c).between(0, 1))
-    e = FormulaClassifier(_BANDS, iterations=2, populations=4, population_size=12, cycles=10, max_complexity=25, sample_rows=1500, seed=3)
+    e = FormulaClassifier(_BANDS, seed=3)
     return e.fit(rows, "label").predict(rows).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -31,6 +31,8 @@ from bandlens.search.losses import LOSSES
 
 #: Training rows that islands search on; the archive is judged on all rows.
 SAMPLE_ROWS = 20_000
+#: Formulas of each complexity (the best ones of the islands on the sample) that compete on all rows in a generation.
+CANDIDATES = 5
 #: Losses that are a weighted mean over rows, so that sums of partitions add up.
 SUMMABLE = ("mae", "mse", "rmse", "cross_entropy", "nll_loss", "focal_loss", "hinge_loss", "accuracy", "pearson")
 
@@ -143,6 +145,7 @@ class Search:
         self.log: list[dict] = []
         self.history: list[dict] = []
         self.generation = 0
+        self.judged: set[str] = set()
 
     def run(self, df: DataFrame, features: list[str], y: str, weight: str | None = None, iterations: int = 100, stop: float | Callable | None = None, callbacks: list[Callable] | None = None, every: int = 1, sample_rows: int = SAMPLE_ROWS) -> Search:
         """Evolve for ``iterations`` generations, or until the best error reaches ``stop`` (or ``stop(self)`` holds)."""
@@ -152,6 +155,7 @@ class Search:
         if not len(t):
             raise ValueError("no labelled rows without missing features")
         sent = spark.sparkContext.broadcast((x, t, w))  # bounded by sample_rows
+        self.judged = set()
         space, settings, seed, began = self.space, self.s, self.seed, time.time()
         for _ in range(iterations):
             generation = self.generation
@@ -177,8 +181,11 @@ class Search:
         return self
 
     def merge(self, df: DataFrame, features: list[str], y: str, weight: str | None, found: list) -> None:
-        """New bests of the islands that could improve the archive, judged over all rows where the metric allows."""
-        new: dict[tuple, tuple[Formula, float]] = {}
+        """The islands' best formulas that could improve the archive, judged over all rows where the metric allows.
+
+        The sample only nominates: of each complexity, up to CANDIDATES different formulas compete.
+        """
+        costs: dict[tuple, dict[str, float]] = {}
         for _, text, cost in found:
             f = decode(text)
             simple = simplify(f) if self.s.should_simplify else f
@@ -186,14 +193,15 @@ class Search:
             f = simple if ok else f
             order = f.order if isinstance(f, FormulaSet) else 1
             key = (order, f.complexity(self.space.limits) if isinstance(f, FormulaSet) else self.space.limits.complexity(f))
-            if key not in new or cost < new[key][1]:
-                new[key] = (f, cost)
-        new = {k: v for k, v in new.items() if k not in self.archive or encode(self.archive[k][0]) != encode(v[0])}
+            same, text = costs.setdefault(key, {}), encode(f)
+            same[text] = min(cost, same.get(text, np.inf))
+        new = [(k, t, c) for k, same in costs.items() for t, c in sorted(same.items(), key=lambda x: x[1])[:CANDIDATES] if t not in self.judged]
+        self.judged |= {t for _, t, _ in new}
+        new = [(k, decode(t), c) for k, t, c in new]
         if self.s.custom is None and self.s.metric in SUMMABLE and self.s.penalty is None and self.s.out_func != "zscore":
-            keys = list(new)
-            errors = evaluate_batch(df, [new[k][0] for k in keys], features, y, weight, self.s.metric, self.s.out_func, self.s.metric_params)
-            new = {k: (new[k][0], -e if self.s.greater else e) for k, e in zip(keys, errors, strict=True)}
-        for k, (f, cost) in new.items():
+            errors = evaluate_batch(df, [f for _, f, _ in new], features, y, weight, self.s.metric, self.s.out_func, self.s.metric_params)
+            new = [(k, f, -e if self.s.greater else e) for (k, f, _), e in zip(new, errors, strict=True)]
+        for k, f, cost in new:
             cost = float(np.float32(cost))
             if np.isfinite(cost) and (k not in self.archive or cost < self.archive[k][1]):
                 self.archive[k] = (f, cost)

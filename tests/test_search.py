@@ -11,9 +11,10 @@ from bandlens.expr.compile_spark import with_formula
 from bandlens.expr.parse import parse
 from bandlens.operators.metrics import mse
 from bandlens.search.generate import Space, count_shapes, random_shape
+from bandlens.search.islands import Settings
 from bandlens.search.local import optimise_aggregations, optimise_constants
 from bandlens.search.losses import LOSSES
-from bandlens.search.train import decode, encode, evaluate_batch, pareto
+from bandlens.search.train import Search, decode, encode, evaluate_batch, pareto
 from bandlens.search.vary import SET_WEIGHTS, TREE_WEIGHTS, Variation
 from bandlens.sources.formulas import load_formulas, write_archive
 
@@ -175,6 +176,31 @@ def test_batch_evaluation_over_partitions(spark):
         evaluate_batch(d, f, NAMES, "y", None, "silhouette")
 
 
+def test_winners_are_chosen_over_all_rows(spark):
+    d = _table(spark)
+    search = Search(Space(NAMES, max_complexity=11), Settings(), 0)
+    good, bad = parse("x0 + x1", NAMES), parse("x2 - x0", NAMES)  # equally complex; the bad one is better on the sample
+    search.merge(d, NAMES, "y", None, [([1, 3], encode(bad), 0.1), ([1, 3], encode(good), 0.2)])
+    (f, cost), = search.archive.values()
+    assert f == good and np.isclose(cost, evaluate_batch(d, [good], NAMES, "y", None, "mse")[0], rtol=1e-5)
+
+
+@pytest.mark.parametrize("name", ["search_regression", "search_classification"])
+def test_registered_searches_have_the_default_parameters(spark, data, name, monkeypatch):
+    from bandlens import catalog
+
+    seen = []
+
+    def run(self, df, features, y, weight=None, iterations=None, stop=None, callbacks=None, every=1, sample_rows=None):
+        seen.append((iterations, sample_rows, self.s.populations, self.s.population_size, self.s.cycles))
+        raise InterruptedError
+
+    monkeypatch.setattr(Search, "run", run)
+    with pytest.raises(InterruptedError):
+        catalog.QUERIES[name](spark, data)
+    assert seen == [(100, 20_000, 31, 27, 380)]
+
+
 def test_pareto_of_sets():
     a = {(1, 5.0): (None, 1.0), (2, 3.0): (None, 2.0), (2, 6.0): (None, 1.0), (1, 7.0): (None, 0.5)}
     assert pareto(a) == {(1, 5.0), (2, 3.0), (1, 7.0)}
