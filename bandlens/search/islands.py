@@ -68,8 +68,8 @@ class Settings:
         return self.custom or LOSSES[self.metric]
 
 
-def out(values: np.ndarray, name: str | None) -> np.ndarray:
-    """The output function on a vector or, for a set, on its matrix."""
+def out(values: np.ndarray, name: str | None, moments: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The output function on a vector or, for a set, on its matrix. ``moments``: mean and deviation of all rows, where the values are some of them."""
     if name in (None, "identity"):
         return values
     if name in ("softmax", "log_softmax"):
@@ -81,11 +81,20 @@ def out(values: np.ndarray, name: str | None) -> np.ndarray:
         e = np.exp(np.maximum(z, -700))
         return e / np.maximum(e.sum(1, keepdims=True), 1e-300)
     if name == "zscore":
-        s = values.std(0)
-        return np.where(s > 1e-8, (values - values.mean(0)) / np.where(s > 1e-8, s, 1), 0.0)
+        m, s = moments if moments is not None else (values.mean(0), values.std(0))
+        return np.where(s > 1e-8, (values - m) / np.where(s > 1e-8, s, 1), 0.0)
     return operator(name).numpy(values)
 
 
+def with_penalty(f: Formula, value: float, s: Settings) -> float:
+    """The metric's value with the penalty of the formula's constants."""
+    if not s.penalty:
+        return value
+    formulas = f.formulas if isinstance(f, FormulaSet) else (f,)
+    c = [v for g in formulas for v in (constants(g) if s.regularise_bias else regularised_constants(g))]
+    return penalised(value, s.greater, penalty(c, s.penalty, s.c))
+
+
 class Judge:
     """Errors and costs of formulas over a sample."""
 
@@ -98,10 +107,7 @@ class Judge:
         with np.errstate(all="ignore"):
             p = out(evaluate(f, x), self.s.out_func)
             value = self.s.loss(y, p, w, **self.s.metric_params)
-        if self.s.penalty:
-            formulas = f.formulas if isinstance(f, FormulaSet) else (f,)
-            c = [v for g in formulas for v in (constants(g) if self.s.regularise_bias else regularised_constants(g))]
-            value = penalised(value, self.s.greater, penalty(c, self.s.penalty, self.s.c))
+        value = with_penalty(f, value, self.s)
         return float(np.float32(value))
 
     def cost(self, f: Formula, rows: np.ndarray | None = None) -> float:

@@ -4,7 +4,7 @@ State is a small table: one row for each island, its formulas as JSON. A generat
 island evolves in its own task over a bounded training sample (broadcast once), so parallelism is
 over islands. Candidates for the archive are then evaluated over *all* training rows: one
 ``mapInPandas`` pass gives partial sums for all candidates at once, and a small aggregate finishes
-them. Migration and the archive are handled by the driver; both are tiny.
+them; metrics that are no mean over rows are computed from a scored table. Migration and the archive are handled by the driver; both are tiny.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from bandlens.expr.ast import FormulaSet
 from bandlens.expr.compile_numpy import compiled
 from bandlens.expr.simplify import simplify
 from bandlens.expr.text import from_json, to_json
+from bandlens.operators.metrics import METRICS
 from bandlens.operators.prep import poisson
 from bandlens.plans.ship import ship
+from bandlens.plans.stages import staged
 from bandlens.search.generate import Space
-from bandlens.search.islands import Formula, Island, Judge, Settings, out
+from bandlens.search.islands import Formula, Island, Judge, Settings, out, with_penalty
 from bandlens.search.losses import LOSSES
 
 #: Training rows that islands search on; the archive is judged on all rows.
@@ -57,6 +59,75 @@ def training_sample(df: DataFrame, features: list[str], y: str, weight: str | No
     return x, p["y"].to_numpy(float), p["w"].to_numpy(float) if weight else None
 
 
+def _columns(df: DataFrame, features: list[str], y: str, weight: str | None, formulas: int) -> DataFrame:
+    """The columns that formulas are judged on."""
+    d = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)], F.col(y).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+    # Work is candidates x rows, all of it CPU: few input splits must not leave cores idle.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(cores) if formulas >= 16 and d.rdd.getNumPartitions() < cores else d
+
+
+def _complete(b: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label and weight of the rows that lack none."""
+    x, t, w = b.iloc[:, :n].to_numpy(float), b["_y"].to_numpy(float), b["_w"].to_numpy(float)
+    ok = ~(np.isnan(x).any(1) | np.isnan(t) | np.isnan(w))
+    return np.asfortranarray(x[ok]), t[ok], w[ok]
+
+
+def output_moments(df: DataFrame, formulas: list[Formula], features: list[str], y: str, weight: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of each formula's values (of each slot of a set) over all labelled rows: a pass for the means, one for the deviations."""
+    ship(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast([encode(f) for f in formulas])
+    widths = [len(f.formulas) if isinstance(f, FormulaSet) else 1 for f in formulas]
+    d = _columns(df, features, y, weight, len(formulas))
+
+    def summed(power: int, centres: list[np.ndarray]) -> list[np.ndarray]:
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            candidates, n = [compiled(decode(t)) for t in sent.value], 0
+            total = [np.zeros(k) for k in widths]
+            for b in batches:
+                x, t, _ = _complete(b, len(features))
+                n += len(t)
+                for i, f in enumerate(candidates if len(t) else []):
+                    with np.errstate(all="ignore"):
+                        total[i] += ((f(x).reshape(len(x), -1) - centres[i]) ** power).sum(0)
+            yield pd.DataFrame([(i, j, v, n) for i, x in enumerate(total) for j, v in enumerate(x)], columns=["i", "j", "s", "n"])
+
+        got = [np.zeros(k) for k in widths]
+        for r in d.mapInPandas(sums, "i int, j int, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
+            got[r["i"]][r["j"]] = r["s"] / r["n"] if r["n"] else 0.0
+        return got
+
+    means = summed(1, [np.zeros(k) for k in widths])
+    flat = lambda v, f: v if isinstance(f, FormulaSet) else v[0]
+    return [(flat(m, f), flat(np.sqrt(v), f)) for m, v, f in zip(means, summed(2, means), formulas, strict=True)]
+
+
+def evaluate_tables(df: DataFrame, formulas: list[Formula], features: list[str], y: str, weight: str | None, metric: str, out_func: str | None = None) -> list[float]:
+    """The metric of each formula over all labelled rows where it is no mean over rows: one scored pass, then the exact DataFrame metric of each column."""
+    if not formulas:
+        return []
+    ship(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast([encode(f) for f in formulas])
+    given = output_moments(df, formulas, features, y, weight) if out_func == "zscore" else [None] * len(formulas)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        candidates = [compiled(decode(t)) for t in sent.value]
+        for b in batches:
+            x, t, w = _complete(b, len(features))
+            with np.errstate(all="ignore"):
+                yield pd.DataFrame({"_y": t, "_w": w} | {f"_p{i}": out(f(x), out_func, given[i]).ravel() for i, f in enumerate(candidates)})
+
+    schema = ", ".join(f"{c} double" for c in ("_y", "_w", *[f"_p{i}" for i in range(len(formulas))]))
+    scored = staged(_columns(df, features, y, weight, len(formulas)).mapInPandas(score, schema), "scored")
+    result = []
+    for i in range(len(formulas)):
+        d = scored.select("_y", F.col(f"_p{i}").alias("_p"), "_w")
+        r = (METRICS[metric].function(d, "_y", "_p", "_w") if metric == "spearman" else METRICS[metric].function(d, "_y", "_p")).first()[0]
+        result.append(np.nan if r is None else float(r))
+    return result
+
+
 def evaluate_batch(df: DataFrame, formulas: list[Formula], features: list[str], y: str, weight: str | None, metric: str, out_func: str | None = None, params: dict | None = None) -> list[float]:
     """The metric of each formula over all labelled rows, in one pass. Only for metrics in SUMMABLE (ValueError otherwise).
 
@@ -71,30 +142,25 @@ def evaluate_batch(df: DataFrame, formulas: list[Formula], features: list[str],
     sent = df.sparkSession.sparkContext.broadcast([encode(f) for f in formulas])
     loss = LOSSES["mse" if metric == "rmse" else metric]
     kw = params or {}
+    given = output_moments(df, formulas, features, y, weight) if out_func == "zscore" else [None] * len(formulas)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         candidates = [compiled(decode(t)) for t in sent.value]
         total = np.zeros((len(candidates), 6))
         for b in batches:
-            x, t, w = b.iloc[:, : len(features)].to_numpy(float), b["_y"].to_numpy(float), b["_w"].to_numpy(float)
-            ok = ~(np.isnan(x).any(1) | np.isnan(t) | np.isnan(w))
-            x, t, w = np.asfortranarray(x[ok]), t[ok], w[ok]
+            x, t, w = _complete(b, len(features))
             if not len(t):
                 continue
             for i, f in enumerate(candidates):
                 with np.errstate(all="ignore"):
-                    p = out(f(x), out_func)
+                    p = out(f(x), out_func, given[i])
                     if metric == "pearson":
                         total[i] += [w.sum(), (w * p).sum(), (w * t).sum(), (w * p * t).sum(), (w * p * p).sum(), (w * t * t).sum()]
                     else:
                         total[i, :2] += [w.sum(), w.sum() * loss(t, p, w, **kw)]
         yield pd.DataFrame(total, columns=list("abcdef")).assign(i=np.arange(len(candidates)))
 
-    d = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)], F.col(y).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
-    # Work is candidates x rows, all of it CPU: few input splits must not leave cores idle.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(formulas) >= 16 and d.rdd.getNumPartitions() < cores:
-        d = d.repartition(cores)
+    d = _columns(df, features, y, weight, len(formulas))
     rows = d.mapInPandas(sums, ", ".join(f"{c} double" for c in "abcdef") + ", i int").groupBy("i").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
     result = [0.0] * len(formulas)
     for r in rows:
@@ -146,6 +212,8 @@ class Search:
         self.history: list[dict] = []
         self.generation = 0
         self.judged: set[str] = set()
+        #: Whether the islands' sample has all rows, so that their errors are those of the data.
+        self.whole = False
 
     def run(self, df: DataFrame, features: list[str], y: str, weight: str | None = None, iterations: int = 100, stop: float | Callable | None = None, callbacks: list[Callable] | None = None, every: int = 1, sample_rows: int = SAMPLE_ROWS) -> Search:
         """Evolve for ``iterations`` generations, or until the best error reaches ``stop`` (or ``stop(self)`` holds)."""
@@ -154,6 +222,7 @@ class Search:
         x, t, w = training_sample(df, features, y, weight, sample_rows, self.seed)
         if not len(t):
             raise ValueError("no labelled rows without missing features")
+        self.whole = len(t) < sample_rows
         sent = spark.sparkContext.broadcast((x, t, w))  # bounded by sample_rows
         self.judged = set()
         space, settings, seed, began = self.space, self.s, self.seed, time.time()
@@ -181,8 +250,9 @@ class Search:
         return self
 
     def merge(self, df: DataFrame, features: list[str], y: str, weight: str | None, found: list) -> None:
-        """The islands' best formulas that could improve the archive, judged over all rows where the metric allows.
+        """The islands' best formulas that could improve the archive, judged over all rows.
 
+        Only a loss of one's own, and a metric of one column on a set of several formulas, are judged on the sample.
         The sample only nominates: of each complexity, up to CANDIDATES different formulas compete.
         """
         costs: dict[tuple, dict[str, float]] = {}
@@ -198,8 +268,14 @@ class Search:
         new = [(k, t, c) for k, same in costs.items() for t, c in sorted(same.items(), key=lambda x: x[1])[:CANDIDATES] if t not in self.judged]
         self.judged |= {t for _, t, _ in new}
         new = [(k, decode(t), c) for k, t, c in new]
-        if self.s.custom is None and self.s.metric in SUMMABLE and self.s.penalty is None and self.s.out_func != "zscore":
-            errors = evaluate_batch(df, [f for _, f, _ in new], features, y, weight, self.s.metric, self.s.out_func, self.s.metric_params)
+        summable, formulas = self.s.metric in SUMMABLE, [f for _, f, _ in new]
+        errors = None
+        if self.s.custom is None and summable:
+            errors = evaluate_batch(df, formulas, features, y, weight, self.s.metric, self.s.out_func, self.s.metric_params)
+        elif self.s.custom is None and not self.whole and not any(isinstance(f, FormulaSet) and len(f.formulas) > 1 for f in formulas):
+            errors = evaluate_tables(df, formulas, features, y, weight, self.s.metric, self.s.out_func)
+        if errors is not None:
+            errors = [with_penalty(f, e, self.s) for f, e in zip(formulas, errors, strict=True)]
             new = [(k, f, -e if self.s.greater else e) for (k, f, _), e in zip(new, errors, strict=True)]
         for k, f, cost in new:
             cost = float(np.float32(cost))

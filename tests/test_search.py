@@ -9,9 +9,9 @@ from bandlens.estimators import Estimator, FormulaClassifier, FormulaRegressor,
 from bandlens.expr.ast import Constant, FormulaSet, Limits, Operation, places
 from bandlens.expr.compile_spark import with_formula
 from bandlens.expr.parse import parse
-from bandlens.operators.metrics import mse
+from bandlens.operators.metrics import METRICS, mse
 from bandlens.search.generate import Space, count_shapes, random_shape
-from bandlens.search.islands import Settings
+from bandlens.search.islands import Judge, Settings
 from bandlens.search.local import optimise_aggregations, optimise_constants
 from bandlens.search.losses import LOSSES
 from bandlens.search.train import Search, decode, encode, evaluate_batch, pareto
@@ -185,6 +185,20 @@ def test_winners_are_chosen_over_all_rows(spark):
     assert f == good and np.isclose(cost, evaluate_batch(d, [good], NAMES, "y", None, "mse")[0], rtol=1e-5)
 
 
+@pytest.mark.parametrize("kw", [{"metric": "spearman"}, {"metric": "fisher"}, {"metric": "silhouette"}, {"metric": "davies_bouldin"}, {"metric": "calinski_harabasz"}, {"metric": "mse", "penalty": "l2"}, {"metric": "pearson", "penalty": "l1"}, {"metric": "mse", "out_func": "zscore"}, {"metric": "separability", "out_func": "zscore"}])
+def test_archive_errors_are_those_of_all_rows(spark, kw):
+    d = _table(spark)
+    p, settings = d.toPandas(), Settings(**kw)
+    y = "k" if METRICS[settings.metric].kind == "table" else "y"
+    search = Search(Space(NAMES, max_complexity=11), settings, 0)
+    formulas = [parse("x0 * 2.5", NAMES), parse("x0 + x1 * 1.5", NAMES)]
+    search.merge(d.repartition(5), NAMES, y, None, [([1, 3], encode(f), 0.123) for f in formulas])
+    judge = Judge(p[NAMES].to_numpy(), p[y].to_numpy(float), None, settings)
+    assert len(search.archive) == 2
+    for f, cost in search.archive.values():
+        assert np.isclose(cost, judge.cost(f), rtol=1e-4)
+
+
 @pytest.mark.parametrize("name", ["search_regression", "search_classification"])
 def test_registered_searches_have_the_default_parameters(spark, data, name, monkeypatch):
     from bandlens import catalog
