@@ -63,6 +63,8 @@ class Estimator:
         if self.settings.out_func not in (None, "identity", "softmax", "log_softmax", "zscore"):
             guards.operator(self.settings.out_func)
         self.space_params = {k: params.pop(k) for k in list(params) if k in _SPACE}
+        if self.space_params.get("window_stats"):
+            raise ValueError("the search has no windows: its rows have no grid (window_stats)")
         self.limit_params = {k: params.pop(k) for k in list(params) if k in _LIMITS}
         self.variation = {k: params.pop(k) for k in list(params) if k in TREE_WEIGHTS or k in SET_WEIGHTS}
         if params:

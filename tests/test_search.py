@@ -215,6 +215,13 @@ def test_registered_searches_have_the_default_parameters(spark, data, name, monk
     assert seen == [(100, 20_000, 31, 27, 380)]
 
 
+@pytest.mark.parametrize("kind", [FormulaRegressor, FormulaClassifier, FormulaTransformer])
+def test_windows_are_refused_at_construction(kind):
+    with pytest.raises(ValueError, match="window_stats"):
+        kind(NAMES, window_stats=["max"])
+    kind(NAMES, window_stats=[])
+
+
 def test_pareto_of_sets():
     a = {(1, 5.0): (None, 1.0), (2, 3.0): (None, 2.0), (2, 6.0): (None, 1.0), (1, 7.0): (None, 0.5)}
     assert pareto(a) == {(1, 5.0), (2, 3.0), (1, 7.0)}
