@@ -9,18 +9,20 @@ from bandlens.llm import cluster, cube, encode, language, mix, percentiles, vari
 from bandlens.sources.tables import table, water_records
 
 
-def _varied(spark: SparkSession, d: str) -> DataFrame:
+_SIDES = {"NIR": 0.0105, "SWIR1": 0.00025}
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
     records = water_records(spark, d, ["label", "NIR", "SWIR1"])
-    records = records.filter(F.col("label").between(0, 4) & F.col("NIR").between(0, 1) & F.col("SWIR1").between(0, 1))
-    return varied.varied_subset(records, 4000, "sample_id", "label", {"NIR": 0.0105, "SWIR1": 0.00025})
+    return records.filter(F.col("label").between(0, 4) & F.col("NIR").between(0, 1) & F.col("SWIR1").between(0, 1))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _varied(spark, d).filter("alone").select("sample_id")
+    return varied.alone_records(_pixels(spark, d), "sample_id", "label", _SIDES).select("sample_id")
 
 
 def p1_subset(spark: SparkSession, d: str) -> DataFrame:
-    return _varied(spark, d)
+    return varied.varied_subset(_pixels(spark, d), 4000, "sample_id", "label", _SIDES)
 
 
 _BANDS = ["Blue", "Green", "Red", "SWIR2"]

@@ -37,6 +37,16 @@ def test_subset_smaller_than_the_alone(spark):
     assert len(s) == 5 and set(s.id) <= _alone(_points())
 
 
+def test_alone_records_are_found_beyond_the_size_of_a_subset(spark, monkeypatch):
+    from bandlens.llm import queries
+
+    i = np.arange(4100)
+    p = pd.DataFrame({"sample_id": i, "label": 1, "NIR": i % 45 * 0.022, "SWIR1": i // 45 * 0.001})
+    p = pd.concat([p, p[:1].assign(sample_id=4100)])  # 0 isn't alone
+    monkeypatch.setattr(queries, "water_records", lambda *a: spark.createDataFrame(p))
+    assert {r["sample_id"] for r in queries.p1_found(spark, "").collect()} == set(range(1, 4100))
+
+
 def test_subset_covers_kinds_evenly_and_swaps_raise_dispersion():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.1, (300, 2)), rng.normal(3, 0.1, (5, 2))])
