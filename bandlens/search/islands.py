@@ -222,7 +222,7 @@ class Island:
             f, cost = m.formula, m.cost
             if self.s.optimise_constants and self.rng.random() < self.s.optimiser_probability:
                 f, cost = optimise_constants(f, self.judge.cost, self.rng, self.s.optimiser, self.s.optimiser_restarts, self.s.optimiser_iterations, self.s.tolerance)
-            if self.s.optimise_aggregations and self.space.aggregates and not isinstance(f, FormulaSet) and self.rng.random() < self.s.optimiser_probability:
+            if self.s.optimise_aggregations and self.space.aggregates and self.rng.random() < self.s.optimiser_probability:
                 f, cost = optimise_aggregations(f, self.judge.cost, self.space, self.rng)
             if self.s.should_simplify:
                 simple = simplify(f)

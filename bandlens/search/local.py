@@ -104,8 +104,19 @@ def optimise_constants(x: Node | FormulaSet, cost: Callable[[Node | FormulaSet],
     return out, best
 
 
-def optimise_aggregations(x: Node, cost: Callable[[Node], float], space: Space, rng: np.random.Generator, patience: int = 4, first_reach: int = 3, steps: int = 40) -> tuple[Node, float]:
-    """Hill-climbing over the aggregations: the first better neighbour is taken; steps are wide at first, and it ends after ``patience`` rounds in vain."""
+def optimise_aggregations(x: Node | FormulaSet, cost: Callable[[Node | FormulaSet], float], space: Space, rng: np.random.Generator, patience: int = 4, first_reach: int = 3, steps: int = 40) -> tuple[Node | FormulaSet, float]:
+    """Hill-climbing over the aggregations: the first better neighbour is taken; steps are wide at first, and it ends after ``patience`` rounds in vain.
+
+    A set's formulas are climbed one after the other, by the cost of the set.
+    """
+    if isinstance(x, FormulaSet):
+        best = cost(x)
+        for i, slot in enumerate(x.slots):
+            if slot is not None:
+                put = lambda s, i=i, x=x: FormulaSet((*x.slots[:i], s, *x.slots[i + 1 :]))
+                slot, best = optimise_aggregations(slot, lambda s, put=put: cost(put(s)), space, rng, patience, first_reach, steps)
+                x = put(slot)
+        return x, best
     best, vain, n = cost(x), 0, len(space.variables)
     for step in range(steps):
         spots = [(at, a) for at, a in places(x) if isinstance(a, Aggregation)]

@@ -11,7 +11,7 @@ from bandlens.expr.compile_spark import with_formula
 from bandlens.expr.parse import parse
 from bandlens.operators.metrics import METRICS, mse
 from bandlens.search.generate import Space, count_shapes, random_shape
-from bandlens.search.islands import Judge, Settings
+from bandlens.search.islands import Island, Judge, Settings
 from bandlens.search.local import optimise_aggregations, optimise_constants
 from bandlens.search.losses import LOSSES
 from bandlens.search.train import Search, decode, encode, evaluate_batch, pareto
@@ -96,6 +96,22 @@ def test_aggregations_are_fitted():
     assert cost < 1e-12
 
 
+def test_aggregations_of_a_set_are_fitted():
+    names = [f"b{i}" for i in range(12)]
+    x = np.random.default_rng(0).normal(size=(60, 12))
+    y = np.stack([x[:, 4:9].mean(1), x[:, 1:4].mean(1)], 1)
+
+    def loss(y, p, w):
+        return float(((y - p) ** 2).mean())
+
+    space = Space(names, stats=["mean"])
+    start = FormulaSet((parse("mean(v2-v5)", names), parse("mean(v2-v5)", names)))
+    island = Island(space, Settings(order=2, custom=loss, optimise_constants=False, optimiser_probability=1.0, population_size=1), Judge(x, y, None, Settings(custom=loss)), np.random.default_rng(0))
+    island.start([start])
+    island.polish(0)
+    assert island.members[0].cost < 1e-12
+
+
 def _table(spark, n=200, seed=0):
     x = np.random.default_rng(seed).normal(size=(n, 3))
     return spark.createDataFrame(pd.DataFrame(x, columns=NAMES).assign(id=range(n), y=x[:, 0] + 2 * x[:, 1], k=(x[:, 0] + x[:, 1] > 0).astype(int)))
