@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bandlens.expr.ast import FormulaSet, Limits
+from bandlens.expr.ast import Aggregation, FormulaSet, Limits, places
 from bandlens.expr.compile_spark import with_formula
 from bandlens.expr.text import show
 from bandlens.functions import guards
@@ -28,6 +28,8 @@ from bandlens.search.vary import SET_WEIGHTS, TREE_WEIGHTS
 
 _SPACE = ("operators", "constants", "use_constants", "use_variables", "stats", "window_stats", "halves", "lengths", "mean_share")
 _LIMITS = ("weights", "children", "nested")
+#: Parameters of variation besides the odds of the mutations, and their names there.
+_VARIATION = {"set_crossover_method": "set_crossover", "set_crossover_probability": "set_crossover_probability", "perturbation_factor": "perturbation", "probability_negate_constant": "negate"}
 
 
 def duration(seconds: float) -> str:
@@ -45,16 +47,22 @@ class Estimator:
 
     ``iterations``, ``max_complexity``, ``selection`` ('accuracy', 'score' or 'best'), ``stop`` (an error
     to reach, or a function of the search), ``callbacks`` with ``callback_every``, ``warm_start``,
-    ``sample_rows``, ``seed``, ``digits`` (of shown constants). A loss of one's own is ``custom`` (with
-    ``custom_greater``); it reaches the workers by value and is not saved with a model.
+    ``sample_rows``, ``seed``, ``digits`` (of shown constants), ``verbose`` (prints a line for each
+    generation). The odds of the mutations go by their names (``add_node`` ...); ``set_crossover_method``,
+    ``set_crossover_probability``, ``perturbation_factor`` and ``probability_negate_constant`` too. A loss of one's
+    own is ``custom`` (with ``custom_greater``); it reaches the workers by value and is not saved with a model.
+
+    The features are the bands of ``stats``. With ``window_stats`` rows are pixels: ``row`` and ``col`` name
+    the columns of their places, ``by`` those that separate rasters; unlabelled pixels are neighbours.
     """
 
     metric, out_func = "mse", None
 
-    def __init__(self, features: list[str] | None = None, *, iterations: int = 100, max_complexity: float = 21, selection: str = "accuracy", stop=None, callbacks: list | None = None, callback_every: int = 1, warm_start: bool = False, sample_rows: int = SAMPLE_ROWS, seed: int = 0, digits: int = 7, **params) -> None:
+    def __init__(self, features: list[str] | None = None, *, iterations: int = 100, max_complexity: float = 21, selection: str = "accuracy", stop=None, callbacks: list | None = None, callback_every: int = 1, warm_start: bool = False, sample_rows: int = SAMPLE_ROWS, seed: int = 0, digits: int = 7, row: str = "row", col: str = "col", by: list[str] | None = None, verbose: bool = False, **params) -> None:
         self.features, self.iterations, self.max_complexity, self.selection = features, iterations, max_complexity, selection
         self.stop, self.callbacks, self.callback_every, self.warm_start = stop, callbacks, callback_every, warm_start
-        self.sample_rows, self.seed, self.digits = sample_rows, seed, digits
+        self.sample_rows, self.seed, self.digits, self.verbose = sample_rows, seed, digits, verbose
+        self.place = {"row": row, "col": col, "by": list(by or [])}
         params.setdefault("metric", self.metric)
         params.setdefault("out_func", self.out_func)
         settings = {k: params.pop(k) for k in list(params) if k in Settings.__dataclass_fields__}
@@ -63,10 +71,10 @@ class Estimator:
         if self.settings.out_func not in (None, "identity", "softmax", "log_softmax", "zscore"):
             guards.operator(self.settings.out_func)
         self.space_params = {k: params.pop(k) for k in list(params) if k in _SPACE}
-        if self.space_params.get("window_stats"):
-            raise ValueError("the search has no windows: its rows have no grid (window_stats)")
         self.limit_params = {k: params.pop(k) for k in list(params) if k in _LIMITS}
-        self.variation = {k: params.pop(k) for k in list(params) if k in TREE_WEIGHTS or k in SET_WEIGHTS}
+        self.variation = {k: params.pop(k) for k in list(params) if k in TREE_WEIGHTS or k in SET_WEIGHTS or k in _VARIATION}
+        if self.variation.get("set_crossover_method", "multi_point") not in ("single_point", "two_point", "multi_point"):
+            raise ValueError(f"unknown crossover {self.variation['set_crossover_method']!r}")
         if params:
             raise ValueError(f"unknown parameters {sorted(params)}")
         self.search: Search | None = None
@@ -84,23 +92,46 @@ class Estimator:
         """Search on the labelled rows of ``df``; null and NaN labels are left out."""
         self.features = features or self.features or [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint") and c not in (label, weight)]
         self._check(df)
-        train = labelled(df, label).filter(F.col(label).isNotNull())
+        train = labelled(df, label)
+        if not self.space_params.get("window_stats"):  # pixels without a label are neighbours of others
+            train = train.filter(F.col(label).isNotNull())
         train, y = self._prepare(train, label)
         if not (self.warm_start and self.search):
             limits = Limits(self.max_complexity, **self.limit_params)
-            self.search = Search(Space(self.features, max_complexity=self.max_complexity, limits=limits, seed=self.seed, **self.space_params), self.settings, self.seed)
-        self.search.run(train, self.features, y, weight, self.iterations, self.stop, self.callbacks, self.callback_every, self.sample_rows)
+            self.search = Search(Space(self.features, max_complexity=self.max_complexity, limits=limits, seed=self.seed, **self.space_params), self.settings, self.seed, self._variation())
+        raster = bool(self.space_params.get("window_stats"))
+        self.search.run(train, self.features, y, weight, self.iterations, self.stop, [*(self.callbacks or []), *([self._progress] if self.verbose else [])], self.callback_every, self.sample_rows, **({"place": self.place} if raster else {}))
         if self.settings.out_func == "zscore":
             self._fit_zscores(train)
         return self
 
+    def _variation(self) -> dict:
+        """Arguments of Variation."""
+        odds = lambda names: {**names, **{k: v for k, v in self.variation.items() if k in names}}
+        return {"weights": odds(TREE_WEIGHTS), "set_weights": odds(SET_WEIGHTS), **{to: self.variation[k] for k, to in _VARIATION.items() if k in self.variation}}
+
+    def _progress(self, search: Search) -> None:
+        """A line of the progress table: generation, seconds, best error, size of the archive, best formula."""
+        h = search.history[-1]
+        if len(search.history) == 1:
+            print(f"{'generation':>10} {'seconds':>9} {'best error':>12} {'archive':>7}  formula")
+        print(f"{h['generation']:>10} {h['seconds']:>9.1f} {h['best_error']:>12.6g} {h['archive']:>7}  {show(self.best(), self.digits) if search.archive else ''}")
+
+    def _with_value(self, df: DataFrame, f: Formula, out: str, **place) -> DataFrame:
+        """The formula's value; without an array of bands for its aggregations, the features are the bands."""
+        trees = f.formulas if isinstance(f, FormulaSet) else (f,)
+        if place.get("array") is None and any(isinstance(n, Aggregation) for t in trees for _, n in places(t)):
+            d = df.withColumn("_bands", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.features]))
+            return with_formula(d, f, out, **{**self.place, **place, "array": "_bands"}).drop("_bands")
+        return with_formula(df, f, out, **{**self.place, **place})
+
     def _prepare(self, train: DataFrame, label: str) -> tuple[DataFrame, str]:
         return train, label
 
     def _fit_zscores(self, train: DataFrame) -> None:
         for f, _ in self.search.archive.values():
             n = f.order if isinstance(f, FormulaSet) else 1
-            v = with_formula(train, f, "_v")
+            v = self._with_value(train, f, "_v")
             v = v.select(*[(F.get("_v", F.lit(i)) if isinstance(f, FormulaSet) else F.col("_v")).alias(f"v{i}") for i in range(n)])
             got = moments(v, v.columns)
             self.zscores[encode(f)] = [got[c] for c in v.columns]
@@ -160,7 +191,7 @@ class Estimator:
         """``df`` with the chosen formula's value after the output function: a double, or an array for a set."""
         self._check(df)
         f = self.best(index)
-        df = with_formula(df, f, out, **place)
+        df = self._with_value(df, f, out, **place)
         return df.withColumn(out, self._out(F.col(out), f))
 
     def _out(self, v: Column, f: Formula) -> Column:
@@ -205,10 +236,10 @@ class Estimator:
     def save(self, spark: SparkSession, path: str, keep_populations: bool = False, keep_log: bool = False) -> None:
         """``archive`` (Parquet), ``params`` (JSON) and, if kept, ``states`` and ``log``; no pickles."""
         self.archive(spark, True).write.mode("overwrite").parquet(f"{path}/archive")
-        params = {"kind": type(self).__name__, "features": self.features, "classes": self.classes, "iterations": self.iterations, "max_complexity": self.max_complexity, "selection": self.selection, "seed": self.seed, "digits": self.digits, "settings": {k: v for k, v in asdict(self.settings).items() if k not in ("custom", "custom_greater")}, "space": self.space_params, "limits": self.limit_params, "zscores": self.zscores}
+        params = {"kind": type(self).__name__, "features": self.features, "classes": self.classes, "iterations": self.iterations, "max_complexity": self.max_complexity, "selection": self.selection, "seed": self.seed, "digits": self.digits, "settings": {k: v for k, v in asdict(self.settings).items() if k not in ("custom", "custom_greater")}, "space": self.space_params, "limits": self.limit_params, "variation": self.variation, "place": self.place, "zscores": self.zscores}
         spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
         if keep_populations:
-            spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(self.search.states)], "island int, state string").write.mode("overwrite").parquet(f"{path}/states")
+            spark.createDataFrame([(i, json.dumps(s), json.dumps(c)) for i, (s, c) in enumerate(zip(self.search.states, self.search.pools, strict=True))], "island int, state string, constants string").write.mode("overwrite").parquet(f"{path}/states")
         if keep_log:
             self.log(spark).write.mode("overwrite").parquet(f"{path}/log")
 
@@ -219,11 +250,12 @@ class Estimator:
         settings = p["settings"]
         if isinstance(settings.get("order"), list):
             settings["order"] = tuple(settings["order"])
-        e = KINDS[p["kind"]](p["features"], iterations=p["iterations"], max_complexity=p["max_complexity"], selection=p["selection"], seed=p["seed"], digits=p["digits"], **settings, **{k: tuple(v) if k == "lengths" and isinstance(v, list) else v for k, v in p["space"].items()}, **p["limits"])
+        e = KINDS[p["kind"]](p["features"], iterations=p["iterations"], max_complexity=p["max_complexity"], selection=p["selection"], seed=p["seed"], digits=p["digits"], **settings, **{k: tuple(v) if k == "lengths" and isinstance(v, list) else v for k, v in p["space"].items()}, **p["limits"], **p["variation"], **p["place"])
         e.classes, e.zscores = p["classes"], {k: [tuple(m) for m in v] for k, v in p["zscores"].items()}
         e._restore([(r["json"], r["order"], r["complexity"], r["error"]) for r in spark.read.parquet(f"{path}/archive").collect()])
         try:
-            e.search.states = [json.loads(r["state"]) for r in spark.read.parquet(f"{path}/states").orderBy("island").collect()]
+            kept = spark.read.parquet(f"{path}/states").orderBy("island").collect()
+            e.search.states, e.search.pools = [json.loads(r["state"]) for r in kept], [json.loads(r["constants"]) for r in kept]
             e.warm_start = True
         except Exception as missing:  # noqa: BLE001 - a path that does not exist
             if "PATH_NOT_FOUND" not in str(missing):
@@ -231,7 +263,7 @@ class Estimator:
         return e
 
     def _restore(self, rows: list[tuple[str, int, float, float]]) -> None:
-        self.search = Search(Space(self.features, max_complexity=self.max_complexity, limits=Limits(self.max_complexity, **self.limit_params), seed=self.seed, **self.space_params), self.settings, self.seed)
+        self.search = Search(Space(self.features, max_complexity=self.max_complexity, limits=Limits(self.max_complexity, **self.limit_params), seed=self.seed, **self.space_params), self.settings, self.seed, self._variation())
         self.search.archive = {(o, c): (decode(t), -e if self.settings.greater else e) for t, o, c, e in rows}
 
     def from_csv(self, spark: SparkSession, path: str, expression: str = "expression", error: str = "error") -> Estimator:
@@ -278,6 +310,26 @@ class FormulaClassifier(Estimator):
 
     metric, out_func = "cross_entropy", "softmax"
 
+    def _variation(self) -> dict:
+        """Arguments of Variation."""
+        odds = lambda names: {**names, **{k: v for k, v in self.variation.items() if k in names}}
+        return {"weights": odds(TREE_WEIGHTS), "set_weights": odds(SET_WEIGHTS), **{to: self.variation[k] for k, to in _VARIATION.items() if k in self.variation}}
+
+    def _progress(self, search: Search) -> None:
+        """A line of the progress table: generation, seconds, best error, size of the archive, best formula."""
+        h = search.history[-1]
+        if len(search.history) == 1:
+            print(f"{'generation':>10} {'seconds':>9} {'best error':>12} {'archive':>7}  formula")
+        print(f"{h['generation']:>10} {h['seconds']:>9.1f} {h['best_error']:>12.6g} {h['archive']:>7}  {show(self.best(), self.digits) if search.archive else ''}")
+
+    def _with_value(self, df: DataFrame, f: Formula, out: str, **place) -> DataFrame:
+        """The formula's value; without an array of bands for its aggregations, the features are the bands."""
+        trees = f.formulas if isinstance(f, FormulaSet) else (f,)
+        if place.get("array") is None and any(isinstance(n, Aggregation) for t in trees for _, n in places(t)):
+            d = df.withColumn("_bands", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.features]))
+            return with_formula(d, f, out, **{**self.place, **place, "array": "_bands"}).drop("_bands")
+        return with_formula(df, f, out, **{**self.place, **place})
+
     def _prepare(self, train: DataFrame, label: str) -> tuple[DataFrame, str]:
         train, table = encode_labels(train, label, "_class")
         self.classes = [r[label] for r in table.orderBy("_class").collect()]

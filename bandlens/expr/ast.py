@@ -32,6 +32,11 @@ class Node:
     def depth(self) -> int:
         return 1 + max((c.depth for c in self.children), default=0)
 
+    @cached_property
+    def spots(self) -> tuple[tuple[tuple[int, ...], Node], ...]:
+        """All nodes with their paths from the root."""
+        return ((), self), *(((i, *at), n) for i, c in enumerate(self.children) for at, n in c.spots)
+
 
 @dataclass(frozen=True)
 class Variable(Node):
@@ -88,6 +93,14 @@ class Operation(Node):
             raise ValueError(f"{op.name} takes {op.arity} operands, not {len(self.operands)}")
         object.__setattr__(self, "name", op.name)
 
+    @cached_property
+    def _hash(self) -> int:
+        return hash((self.name, self.operands))
+
+    def __hash__(self) -> int:
+        """Kept, as trees are looked up by their subtrees all the time."""
+        return self._hash
+
     @property
     def children(self) -> tuple[Node, ...]:
         return self.operands
@@ -112,11 +125,9 @@ def postorder(node: Node) -> Iterator[Node]:
     yield node
 
 
-def places(node: Node, at: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], Node]]:
+def places(node: Node) -> tuple[tuple[tuple[int, ...], Node], ...]:
     """All nodes with their paths from the root."""
-    yield at, node
-    for i, c in enumerate(node.children):
-        yield from places(c, (*at, i))
+    return node.spots
 
 
 def get_at(node: Node, at: tuple[int, ...]) -> Node:
@@ -186,12 +197,12 @@ class Limits:
         return (self.weights or {}).get(name, 1.0)
 
     def complexity(self, node: Node) -> float:
-        return sum(self.weight(n) for n in preorder(node)) if self.weights else float(node.size)
+        return sum(self.weight(n) for _, n in node.spots) if self.weights else float(node.size)
 
     def valid(self, node: Node) -> bool:
         if self.max_complexity is not None and self.complexity(node) > self.max_complexity + 1e-9:
             return False
-        for n in preorder(node):
+        for _, n in node.spots if self.children or self.nested else ():
             if not isinstance(n, Operation):
                 continue
             most = (self.children or {}).get(n.name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections import OrderedDict
 from collections.abc import Callable
 
 import numpy as np
@@ -29,6 +30,21 @@ def reduce_bands(x: np.ndarray, name: str) -> np.ndarray:
         return {"mean": np.mean, "sum": np.sum, "max": np.max, "min": np.min, "median": np.median, "std": np.std, "var": np.var}[stat](x, axis=-1)
 
 
+def reduce_window(patches: np.ndarray, stat: str, half: int) -> np.ndarray:
+    """The statistic of the window of half-size ``half`` in the middle of each patch (n, side, side, ...), NaN (missing) neighbours left out; NaN for none."""
+    m = patches.shape[1] // 2
+    x = patches[:, m - half : m + half + 1, m - half : m + half + 1]
+    x = x.reshape(len(x), (2 * half + 1) ** 2, *x.shape[3:])
+    some = ~np.isnan(x).all(1)
+    with np.errstate(all="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        if stat == "range":
+            out = np.nanmax(x, 1) - np.nanmin(x, 1)
+        else:
+            out = {"mean": np.nanmean, "max": np.nanmax, "min": np.nanmin, "sum": np.nansum, "median": np.nanmedian}[stat](x, axis=1)
+    return np.where(some, out, np.nan)
+
+
 Step = tuple[Callable[..., np.ndarray], tuple[int, ...]]
 
 
@@ -77,3 +93,45 @@ def compiled(node: Node | FormulaSet) -> Callable[[np.ndarray], np.ndarray]:
 def evaluate(node: Node | FormulaSet, x: np.ndarray) -> np.ndarray:
     """Values for the rows of ``x`` (n, d): a vector, or a column for each formula of a set."""
     return compiled(node)(np.asarray(x, float))
+
+
+class Memo:
+    """Values of formulas over fixed rows; those of subtrees are kept, the least recently used ones go first.
+
+    A varied formula differs from its parent in one place, so most of its subtrees are known. ``room`` bounds the numbers kept.
+    """
+
+    def __init__(self, x: np.ndarray, patches: np.ndarray | None = None, room: int = 8_000_000) -> None:
+        self.x, self.patches = np.asfortranarray(x, float), patches
+        self.most = max(8, room // max(1, len(x)))
+        self.known: OrderedDict[Node, np.ndarray] = OrderedDict()
+
+    def __call__(self, node: Node | FormulaSet) -> np.ndarray:
+        if isinstance(node, FormulaSet):
+            return np.stack([np.broadcast_to(self.value(f), len(self.x)) for f in node.formulas], 1)
+        return np.array(np.broadcast_to(self.value(node), len(self.x)), float)
+
+    def value(self, n: Node) -> np.ndarray | float:
+        if isinstance(n, Constant):
+            return n.value
+        if isinstance(n, Variable):
+            return self.x[:, n.index]
+        found = self.known.get(n)
+        if found is not None:
+            self.known.move_to_end(n)
+            return found
+        if isinstance(n, Aggregation):
+            if n.spatial is None:
+                out = reduce_bands(self.x[:, n.start : n.end + 1], n.stat)
+            elif self.patches is None:
+                raise ValueError("a window needs the pixels around each row")
+            elif n.band is not None:
+                out = reduce_window(self.patches[..., n.band], n.spatial, n.half)
+            else:
+                out = reduce_bands(reduce_window(self.patches[..., n.start : n.end + 1], n.spatial, n.half), n.stat)
+        else:
+            out = operator(n.name).numpy(*[self.value(c) for c in n.children])
+        self.known[n] = out
+        if len(self.known) > self.most:
+            self.known.popitem(last=False)
+        return out

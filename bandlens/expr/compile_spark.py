@@ -39,9 +39,11 @@ def with_formula(df: DataFrame, formula: Node | FormulaSet, out: str, array: str
     def column(n: Node) -> Column:
         return F.lit(float(n.value)) if isinstance(n, Constant) else F.col(f"{PREFIX}{nodes[n]}")
 
-    for n in nodes:
-        if isinstance(n, Aggregation) and n.spatial is not None:
-            df = _windowed(df, n, f"{PREFIX}{nodes[n]}", array, row, col, by)
+    windowed = {n: f"{PREFIX}{nodes[n]}" for n in nodes if isinstance(n, Aggregation) and n.spatial is not None}
+    if windowed:
+        if array is None:
+            raise ValueError("windows need an array of bands")
+        df = with_windows(df, windowed, array, row, col, by)
     leaves = []
     for n in nodes:
         name = f"{PREFIX}{nodes[n]}"
@@ -67,13 +69,16 @@ def with_formula(df: DataFrame, formula: Node | FormulaSet, out: str, array: str
     return df.select(*keep, value.alias(out))
 
 
-def _windowed(df: DataFrame, n: Aggregation, name: str, array: str | None, row: str, col: str, by: list[str] | None) -> DataFrame:
-    if array is None:
-        raise ValueError("windows need an array of bands")
-    if n.band is not None:
-        return windows.window(df.withColumn("_band_value", F.get(F.col(array), F.lit(n.band)).cast("double")), n.spatial, n.half, "_band_value", name, row, col, by).drop("_band_value")
-    d = windows.bands_window(df, n.spatial, n.half, array, "_window_bands", n.start, n.end, row, col, by)
-    return d.withColumn(name, bands.reduce(F.col("_window_bands"), n.stat, 0, n.end - n.start)).drop("_window_bands")
+def with_windows(df: DataFrame, windowed: dict[Aggregation, str], array: str, row: str = "row", col: str = "col", by: list[str] | None = None) -> DataFrame:
+    """``df`` with the value of each aggregation that has a window: all of them in two shuffles."""
+    wanted: dict[tuple[str, int, int], str] = {}
+    for n in windowed:
+        for band in (n.band,) if n.band is not None else range(n.start, n.end + 1):
+            wanted.setdefault((n.spatial, n.half, band), f"_w{len(wanted)}")
+    df = windows.many(df, [(stat, half, F.get(F.col(array), F.lit(band)), name) for (stat, half, band), name in wanted.items()], row, col, by)
+    value = lambda n, band: F.col(wanted[n.spatial, n.half, band])
+    out = {name: value(n, n.band) if n.band is not None else bands.reduce(F.array(*[value(n, k) for k in range(n.start, n.end + 1)]), n.stat, 0, n.end - n.start) for n, name in windowed.items()}
+    return df.withColumns(out).drop(*wanted.values())
 
 
 def expression(formula: Node, array: str | None = None) -> Column:

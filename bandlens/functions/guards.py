@@ -71,8 +71,24 @@ def _np_power(x, y):
     return np.where(ok, r, 1.0)
 
 
+def _moderate_all(*arrays) -> bool:
+    """Whether every value is within the limit: then guards have nothing to replace."""
+    return all(a.size == 0 or (a.max() < LARGE and a.min() > -LARGE) for a in arrays)
+
+
 def _np_bounded(r, other):
-    return np.where(np.abs(r) < LARGE, r, other)
+    return r if _moderate_all(r) else np.where(np.abs(r) < LARGE, r, other)
+
+
+def _np_mul(x, y):
+    r = x * y
+    return r if _moderate_all(r, x, y) else np.where((np.abs(x) < LARGE) & (np.abs(y) < LARGE) & (np.abs(r) < LARGE), r, 0.0)
+
+
+def _np_div(x, y):
+    r = x / y
+    size = np.abs(y)
+    return r if size.size and size.min() > TINY and _moderate_all(r) else np.where((size > TINY) & (np.abs(r) < LARGE), r, 1.0)
 
 
 def _np_sigmoid(x):
@@ -92,8 +108,8 @@ OPERATORS: dict[str, Operator] = {
     for o in (
         Operator("add", 2, lambda x, y: x + y, lambda r, x, y: _keep(r, _moderate(r), 0.0), _np(lambda x, y: _np_bounded(x + y, 0.0)), "+"),
         Operator("sub", 2, lambda x, y: x - y, lambda r, x, y: _keep(r, _moderate(r), 0.0), _np(lambda x, y: _np_bounded(x - y, 0.0)), "-"),
-        Operator("mul", 2, lambda x, y: x * y, lambda r, x, y: _keep(r, _moderate(x) & _moderate(y) & _moderate(r), 0.0), _np(lambda x, y: np.where((np.abs(x) < LARGE) & (np.abs(y) < LARGE) & (np.abs(x * y) < LARGE), x * y, 0.0)), "*"),
-        Operator("div", 2, lambda x, y: F.try_divide(x, y), lambda r, x, y: _keep(r, (F.abs(y) > TINY) & _moderate(r), 1.0), _np(lambda x, y: np.where((np.abs(y) > TINY) & (np.abs(x / y) < LARGE), x / y, 1.0)), "/"),
+        Operator("mul", 2, lambda x, y: x * y, lambda r, x, y: _keep(r, _moderate(x) & _moderate(y) & _moderate(r), 0.0), _np(_np_mul), "*"),
+        Operator("div", 2, lambda x, y: F.try_divide(x, y), lambda r, x, y: _keep(r, (F.abs(y) > TINY) & _moderate(r), 1.0), _np(_np_div), "/"),
         Operator("sqrt", 1, lambda x: F.sqrt(F.abs(x)), None, _np(lambda x: np.sqrt(np.abs(x)))),
         Operator(
             "power", 2, lambda x, y: F.pow(x, y),

@@ -37,49 +37,55 @@ def _median(values: Column) -> Column:
     return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
 
 
+def many(df: DataFrame, specs: list[tuple[str, int, Column, str]], row: str = "row", col: str = "col", by: list[str] | None = None, where: str | None = None) -> DataFrame:
+    """``df`` with one column for each of ``specs`` (statistic, half-size, value, name of the result), in two passes together.
+
+    All windows along the rows share one shuffle and one sort, and so do all those along the columns,
+    whatever the number of statistics, half-sizes and bands; values are columns of ``df``.
+    """
+    for stat, half, _, _ in specs:
+        check(stat, half)
+    by, keep = by or [], df.columns
+    #: The parts a statistic is made of: how values are combined along a row, and then along a column.
+    kinds = {"sum": ("sum", "count"), "mean": ("sum", "count"), "max": ("max",), "min": ("min",), "range": ("max", "min"), "median": ("list",)}
+    first = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "list": F.collect_list}
+    then = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "list": F.collect_list}
+    d = df.withColumns({f"_v{i}": F.when(~F.isnan(v.cast("double")), v.cast("double")) for i, (_, _, v, _) in enumerate(specs)})
+    across, down = {}, {}
+    for i, (stat, half, _, _) in enumerate(specs):
+        along, below = _frames(row, col, half, by)
+        for part in kinds[stat]:
+            across[f"_a{i}_{part}"] = first[part](f"_v{i}").over(along)
+            down[f"_b{i}_{part}"] = then[part](f"_a{i}_{part}").over(below)
+    d = d.withColumns(across).drop(*[f"_v{i}" for i in range(len(specs))]).withColumns(down)
+    results = {}
+    for i, (stat, _, _, name) in enumerate(specs):
+        b = lambda part, i=i: F.col(f"_b{i}_{part}")
+        if stat in ("sum", "mean"):
+            result = F.when(b("count") > 0, b("sum") if stat == "sum" else F.try_divide(b("sum"), b("count")))
+        elif stat == "range":
+            result = b("max") - b("min")
+        else:
+            result = _median(F.flatten(b("list"))) if stat == "median" else b(stat)
+        results[name] = F.coalesce(result, F.lit(NAN))
+    d = d.select(*[F.col(f"`{c}`") for c in keep if c not in results], *[v.alias(n) for n, v in results.items()])
+    return d.filter(where) if where else d
+
+
 def window(df: DataFrame, stat: str, half: int, value: str, out: str, row: str = "row", col: str = "col", by: list[str] | None = None, where: str | None = None) -> DataFrame:
     """``df`` with ``out``: the statistic over the (2 half + 1) x (2 half + 1) window around each pixel.
 
     ``by`` separates rasters or bands; ``where``, a condition, keeps only flagged pixels of the
     result (all pixels still count as neighbours). Two rows at one place are two neighbours.
     """
-    check(stat, half)
-    across, down = _frames(row, col, half, by or [])
-    v = _present(value)
-    d = df
-    if stat in ("sum", "mean"):
-        d = d.withColumn("_s", F.sum(v).over(across)).withColumn("_n", F.count(v).over(across))
-        d = d.withColumn("_s2", F.sum("_s").over(down)).withColumn("_n2", F.sum("_n").over(down))
-        result = F.col("_s2") if stat == "sum" else F.try_divide(F.col("_s2"), F.col("_n2"))
-        result = F.when(F.col("_n2") > 0, result)
-    elif stat in ("max", "min"):
-        f = F.max if stat == "max" else F.min
-        d = d.withColumn("_s", f(v).over(across)).withColumn("_s2", f("_s").over(down))
-        result = F.col("_s2")
-    elif stat == "range":
-        d = d.withColumn("_s", F.max(v).over(across)).withColumn("_n", F.min(v).over(across))
-        result = F.max("_s").over(down) - F.min("_n").over(down)
-        d = d.withColumn("_s2", result)
-        result = F.col("_s2")
-    else:
-        d = d.withColumn("_s", F.collect_list(v).over(across)).withColumn("_s2", F.flatten(F.collect_list("_s").over(down)))
-        result = _median(F.col("_s2"))
-    d = d.withColumn(out, F.coalesce(result, F.lit(NAN))).drop("_s", "_n", "_s2", "_n2")
-    return d.filter(where) if where else d
+    return many(df, [(stat, half, F.col(value), out)], row, col, by, where)
 
 
 def bands_window(df: DataFrame, stat: str, half: int, bands: str, out: str, start: int, end: int, row: str = "row", col: str = "col", by: list[str] | None = None, where: str | None = None) -> DataFrame:
-    """``df`` with ``out``, an array: the window's statistic of each of the bands ``start``..``end``.
-
-    Bands are sliced before anything is shuffled; each is one more key of the windows.
-    """
-    keys = [*(by or []), row, col]
-    rest = [c for c in df.columns if c != bands]
-    long = df.select(*keys, F.posexplode(F.slice(bands, start + 1, end - start + 1)).alias("_band", "_v"))
-    done = window(long, stat, half, "_v", "_out", row, col, [*(by or []), "_band"])
-    lists = done.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_band", "_out"))), lambda s: s["_out"]).alias(out))
-    d = df.select(*rest, bands).join(lists, keys)
-    return d.filter(where) if where else d
+    """``df`` with ``out``, an array: the window's statistic of each of the bands ``start``..``end``, each band as a column of the same two passes."""
+    names = [f"_w{i}" for i in range(start, end + 1)]
+    d = many(df, [(stat, half, F.get(F.col(bands), F.lit(i)), n) for i, n in zip(range(start, end + 1), names, strict=True)], row, col, by, where)
+    return d.withColumn(out, F.array(*names)).drop(*names)
 
 
 def patches(df: DataFrame, size: int, method: str, value: str, out: str, row: str = "row", col: str = "col", skip_nan: bool = True, pad: str = "reflect") -> DataFrame:
@@ -120,10 +126,14 @@ def patches(df: DataFrame, size: int, method: str, value: str, out: str, row: st
     across, down = _frames("_row", "_col", half, [])
     v = _present(value) if skip_nan else F.col(value).cast("double")
     if method == "std":
-        d = d.withColumns({"_s": F.sum(v).over(across), "_q": F.sum(v * v).over(across), "_n": F.count(v).over(across)})
-        d = d.withColumns({"_s2": F.sum("_s").over(down), "_q2": F.sum("_q").over(down), "_n2": F.sum("_n").over(down)})
-        mean = F.try_divide(F.col("_s2"), F.col("_n2"))
-        d = d.withColumn("_out", F.sqrt(F.greatest(F.try_divide(F.col("_q2"), F.col("_n2")) - mean * mean, F.lit(0.0))))
+        # Moments of each row of the patch first, then of their means: values far from 0 lose no digits.
+        d = d.withColumns({"_s": F.avg(v).over(across), "_q": F.var_pop(v).over(across), "_n": F.count(v).over(across)})
+        d = d.withColumns({"_parts": F.collect_list(F.struct("_n", "_s", "_q")).over(down), "_n2": F.sum("_n").over(down)})
+        parts = F.filter("_parts", lambda p: p["_n"] > 0)
+        add = lambda f: F.aggregate(parts, F.lit(0.0), lambda a, p: a + f(p))
+        d = d.withColumn("_m2", F.try_divide(add(lambda p: p["_n"] * p["_s"]), F.col("_n2")))
+        spread = add(lambda p: p["_n"] * (p["_q"] + (p["_s"] - F.col("_m2")) * (p["_s"] - F.col("_m2"))))
+        d = d.withColumn("_out", F.sqrt(F.try_divide(spread, F.col("_n2"))))
     elif method == "median":
         d = d.withColumn("_s", F.collect_list(v).over(across)).withColumn("_s2", F.flatten(F.collect_list("_s").over(down))).withColumn("_out", _median(F.col("_s2")))
     else:

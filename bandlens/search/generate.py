@@ -61,6 +61,12 @@ def _random_forest(size: int, trees: int, arities: tuple[int, ...], rng: np.rand
     return tuple(out)
 
 
+def _by_weight(weights, rng: np.random.Generator) -> int:
+    """An index, by the weights."""
+    upto = np.cumsum(np.asarray(weights, float))
+    return min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(upto) - 1)
+
+
 @dataclass
 class Space:
     """What formulas are made of.
@@ -82,7 +88,7 @@ class Space:
     window_stats: list[str] = field(default_factory=list)
     halves: list[int] = field(default_factory=lambda: [1])
     lengths: tuple[int, int] | int | None = None
-    mean_share: float = 0.4
+    mean_share: float = 0.92
     seed: int = 0
 
     def __post_init__(self) -> None:
@@ -117,7 +123,9 @@ class Space:
 
     def leaf(self, rng: np.random.Generator, constants: bool = True) -> Node:
         odds = self.leaf_odds(constants)
-        kind = list(odds)[int(rng.choice(len(odds), p=np.array(list(odds.values())) / sum(odds.values())))]
+        return self.leaf_of(list(odds)[_by_weight(list(odds.values()), rng)], rng)
+
+    def leaf_of(self, kind: str, rng: np.random.Generator) -> Node:
         if kind == "variable":
             i = int(rng.integers(len(self.variables)))
             return Variable(i, self.variables[i])
@@ -145,86 +153,123 @@ class Space:
         return max(1, int(round((self.limits.weights or {}).get(name, 1.0) * GRID)))
 
     def _count(self) -> None:
-        """Trees by complexity, on the grid. Two constants below one operator, and a constant below a unary one, don't count."""
+        """Trees by complexity (on the grid) and by state, so that only valid ones are counted.
+
+        A tree's state is what constraints above it can see: whether it is a constant, and for an
+        operator whose nesting is limited somewhere its name and the length of its chain (longer ones
+        than any limit are one state). Two constants below one operator, and a constant below a unary
+        one, don't count.
+        """
         top = int(round(self.limits.max_complexity * GRID))
-        self.leaf_counts = np.zeros(top + 1)
-        self.constant_counts = np.zeros(top + 1)
+        nested, children = self.limits.nested or {}, self.limits.children or {}
+        longest: dict[str, int] = {}
+        for inner in nested.values():
+            for name, allowed in inner.items():
+                longest[operator(name).name] = max(longest.get(operator(name).name, 0), allowed)
+        self.longest = {n: k + 1 for n, k in longest.items() if n in self.operators}
+        self.counts = {("constant", 0): np.zeros(top + 1), ("leaf", 0): np.zeros(top + 1)}
+        self.leaf_kinds: dict[int, dict[str, float]] = {}
         for kind, odds in self.leaf_odds().items():
             w = self._weight(kind)
             if w <= top:
-                self.leaf_counts[w] += odds
-                if kind == "constant":
-                    self.constant_counts[w] += odds
-        counts = self.leaf_counts.copy()
-        unary, binary = [self._weight(o) for o in self.by_arity[1]], [self._weight(o) for o in self.by_arity[2]]
-        for c in range(1, top + 1):
-            total = sum(counts[c - w] - self.constant_counts[c - w] for w in unary if c - w > 0)
-            for w in set(binary):
-                if c - w > 1:
-                    a = counts[1 : c - w]
-                    k = self.constant_counts[1 : c - w]
-                    total += binary.count(w) * float((a * a[::-1] - k * k[::-1]).sum())
-            counts[c] += max(total, 0.0)
-        self.counts = counts
+                self.counts["constant" if kind == "constant" else "leaf", 0][w] += odds
+                self.leaf_kinds.setdefault(w, {})[kind] = odds
+        for o in self.operators:
+            for k in range(1, self.longest[o] + 1) if o in self.longest else (0,):
+                self.counts[o, k] = np.zeros(top + 1)
+        limits = {operator(o).name: c for o, c in children.items()}
+        rules = {operator(o).name: {operator(n).name: k for n, k in inner.items()} for o, inner in nested.items()}
+        #: For each operator and operand: states that may stand there, by the chain they bring along and whether they are the constant.
+        self.groups: dict[str, list[dict[tuple[int, bool], list[tuple]]]] = {}
+        self.sums: dict[tuple, np.ndarray] = {}
+        self.most: dict[tuple[str, int], int] = {}
+        for o in self.operators:
+            arity, most = operator(o).arity, limits.get(o)
+            self.groups[o] = []
+            for i in range(arity):
+                m = most[i] if isinstance(most, (tuple, list)) else most
+                self.most[o, i] = top if m is None or m < 0 else int(round(m * GRID))
+                g: dict[tuple[int, bool], list[tuple]] = {}
+                for state in self.counts:
+                    name, k = state
+                    if k > rules.get(o, {}).get(name, k) or (arity == 1 and name == "constant"):
+                        continue
+                    g.setdefault((k if name == o else 0, name == "constant"), []).append(state)
+                self.groups[o].append(g)
+                for key in g:
+                    self.sums[o, i, key] = np.zeros(top + 1)
+        for c in range(top + 1):
+            for o in self.operators:
+                r = c - self._weight(o)
+                if r > 0:
+                    for k, n, _ in self._ways(o, r):
+                        self.counts[o, k][c] += n if np.isscalar(n) else n.sum()
+            for (o, i, key), total in self.sums.items():
+                if c <= self.most[o, i]:
+                    total[c] = sum(self.counts[s][c] for s in self.groups[o][i][key])
+        counts = sum(self.counts.values())
         at = np.flatnonzero(counts)
         if not len(at):
             raise ValueError("no formula fits the limits")
         target = self.mean_share * top
 
         def odds(alpha: float) -> np.ndarray:
-            z = np.log(counts[at]) - alpha * at
+            z = np.log(counts[at]) - alpha / GRID * at
             p = np.exp(z - z.max())
             return p / p.sum()
 
+        # The wanted mean by the price of a complexity; where even free ones are smaller on average, the price is 1.
         low, high = 0.0, 20.0
-        if (odds(0.0) * at).sum() > target:
-            for _ in range(80):
-                mid = (low + high) / 2
-                low, high = (mid, high) if (odds(mid) * at).sum() > target else (low, mid)
-        self.complexities, self.complexity_odds = at, odds((low + high) / 2 if high < 20 else 1.0)
-
-    def _draw(self, c: int, rng: np.random.Generator, constants: bool = True) -> Node:
-        """A tree of grid complexity ``c``, each alternative by its count."""
-        options: list[tuple[float, tuple]] = []
-        leaf = self.leaf_counts[c] - (0 if constants else self.constant_counts[c])
-        if leaf > 0:
-            options.append((leaf, ("leaf",)))
-        for o in self.by_arity[1]:
-            r = c - self._weight(o)
-            if r > 0 and self.counts[r] - self.constant_counts[r] > 0:
-                options.append((self.counts[r] - self.constant_counts[r], (o,)))
-        for o in self.by_arity[2]:
-            r = c - self._weight(o)
-            if r > 1:
-                a, k = self.counts[1:r], self.constant_counts[1:r]
-                n = float((a * a[::-1] - k * k[::-1]).sum())
-                if n > 0:
-                    options.append((n, (o,)))
-        weights = np.array([n for n, _ in options])
-        kind = options[int(rng.choice(len(options), p=weights / weights.sum()))][1][0]
-        if kind == "leaf":
-            while True:
-                x = self.leaf(rng, constants)
-                if self._weight(type(x).__name__.lower()) == c:
-                    return x
-        r = c - self._weight(kind)
-        if operator(kind).arity == 1:
-            return Operation(kind, (self._draw(r, rng, constants=False),))
-        a, k = self.counts[1:r], self.constant_counts[1:r]
-        p = a * a[::-1] - k * k[::-1]
-        left = 1 + int(rng.choice(len(p), p=p / p.sum()))
-        x = self._draw(left, rng)
-        return Operation(kind, (x, self._draw(r - left, rng, constants=not isinstance(x, Constant))))
-
-    def random(self, rng: np.random.Generator, max_complexity: float | None = None, tries: int = 60) -> Node:
-        """A valid formula of at most ``max_complexity``; a leaf if none is found."""
+        if (odds(0.0) * at).sum() < target:
+            low = high = 1.0
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (odds(mid) * at).sum() > target else (low, mid)
+        self.complexities, self.complexity_odds = at, odds((low + high) / 2)
+
+    def _ways(self, o: str, r: int) -> list[tuple[int, np.ndarray | float, tuple]]:
+        """Ways to fill operator ``o``'s operands with complexity ``r`` in all: (state's chain, numbers by the first operand's complexity, groups)."""
+        out, cap = [], self.longest.get(o)
+        chain = lambda *k: 0 if cap is None else min(cap, 1 + max(k))
+        groups = self.groups[o]
+        if len(groups) == 1:
+            return [(chain(key[0]), self.sums[o, 0, key][r], (key,)) for key in groups[0]]
+        if r < 2:
+            return []
+        for a in groups[0]:
+            for b in groups[1]:
+                if not (a[1] and b[1]):
+                    out.append((chain(a[0], b[0]), self.sums[o, 0, a][1:r] * self.sums[o, 1, b][1:r][::-1], (a, b)))
+        return out
+
+    def _draw(self, c: int, rng: np.random.Generator, states: list[tuple] | None = None) -> Node:
+        """A tree of grid complexity ``c`` in one of the ``states``, each such tree with the same odds."""
+        options = [s for s in (self.counts if states is None else states) if self.counts[s][c] > 0]
+        name, k = options[_by_weight([self.counts[s][c] for s in options], rng)]
+        if name in ("constant", "leaf"):
+            kinds = {n: w for n, w in self.leaf_kinds[c].items() if (n == "constant") == (name == "constant")}
+            return self.leaf_of(list(kinds)[_by_weight(list(kinds.values()), rng)], rng)
+        r = c - self._weight(name)
+        ways = [w for w in self._ways(name, r) if w[0] == k]
+        _, n, keys = ways[_by_weight([w[1] if np.isscalar(w[1]) else w[1].sum() for w in ways], rng)]
+        if len(keys) == 1:
+            return Operation(name, (self._draw(r, rng, self.groups[name][0][keys[0]]),))
+        left = 1 + _by_weight(n, rng)
+        return Operation(name, (self._draw(left, rng, self.groups[name][0][keys[0]]), self._draw(r - left, rng, self.groups[name][1][keys[1]])))
+
+    def random(self, rng: np.random.Generator, max_complexity: float | None = None) -> Node:
+        """A valid formula of at most ``max_complexity``; a leaf if even the smallest formula is larger.
+
+        Counts know the constraints, so what is drawn is valid; only weights that are no multiples of a
+        tenth can make one too large, and then another is drawn (a leaf after a thousand in vain).
+        """
         top = self.limits.max_complexity if max_complexity is None else max_complexity
         ok = self.complexities <= top * GRID + 1e-9
         if not ok.any():
             return self.leaf(rng, constants=False)
-        p = self.complexity_odds[ok] / self.complexity_odds[ok].sum()
-        for _ in range(tries):
-            x = self._draw(int(rng.choice(self.complexities[ok], p=p)), rng)
+        at, p = self.complexities[ok], self.complexity_odds[ok]
+        for _ in range(1000):
+            x = self._draw(int(at[_by_weight(p, rng)]), rng)
             if self.limits.valid(x):
                 return x
         return self.leaf(rng, constants=False)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from bandlens.expr.ast import FormulaSet, Node, constants, regularised_constants
-from bandlens.expr.compile_numpy import evaluate
+from bandlens.expr.compile_numpy import Memo
 from bandlens.expr.simplify import simplify
 from bandlens.functions.guards import operator
 from bandlens.operators.metrics import METRICS, penalised, penalty
@@ -98,17 +98,25 @@ def with_penalty(f: Formula, value: float, s: Settings) -> float:
 class Judge:
     """Errors and costs of formulas over a sample."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None, settings: Settings) -> None:
-        self.x, self.y, self.w, self.s = x, y, w, settings
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None, settings: Settings, patches: np.ndarray | None = None) -> None:
+        self.x, self.y, self.w, self.s, self.patches = x, y, w, settings, patches
+        self.values, self.errors = Memo(x, patches), {}
 
     def error(self, f: Formula, rows: np.ndarray | None = None) -> float:
-        """The metric with its penalty, in single precision as archives keep it."""
-        x, y, w = (self.x, self.y, self.w) if rows is None else (self.x[rows], self.y[rows], None if self.w is None else self.w[rows])
+        """The metric with its penalty, in single precision as archives keep it; over all rows it is computed once for each formula."""
+        if rows is None and f in self.errors:
+            return self.errors[f]
+        y, w = (self.y, self.w) if rows is None else (self.y[rows], None if self.w is None else self.w[rows])
         with np.errstate(all="ignore"):
-            p = out(evaluate(f, x), self.s.out_func)
+            some = self.values if rows is None else Memo(self.x[rows], None if self.patches is None else self.patches[rows])
+            p = out(some(f), self.s.out_func)
             value = self.s.loss(y, p, w, **self.s.metric_params)
-        value = with_penalty(f, value, self.s)
-        return float(np.float32(value))
+        value = float(np.float32(with_penalty(f, value, self.s)))
+        if rows is None:
+            if len(self.errors) >= 100_000:
+                self.errors.clear()
+            self.errors[f] = value
+        return value
 
     def cost(self, f: Formula, rows: np.ndarray | None = None) -> float:
         """Smaller is better; what isn't a number is worst."""
@@ -175,12 +183,18 @@ class Island:
         p = float(np.exp(-(new.cost - old.cost) / max(temperature * self.s.alpha, 1e-12)))
         return bool(self.rng.random() < p), p
 
-    def note(self, generation: int, kind: str, name: str, old: Member, new: Member, accepted: bool, temperature: float, p: float) -> None:
+    def note(self, generation: int, kind: str, name: str, old: Member, new: Member, accepted: bool, temperature: float, p: float, second: tuple[Member, Member] | None = None) -> None:
+        """A record of an operation; ``second``: the other parent and offspring of a crossover."""
         if not self.s.logging:
             return
         sign = -1.0 if self.s.greater else 1.0
-        o = [m.formula.order if isinstance(m.formula, FormulaSet) else None for m in (old, new)]
-        self.log.append({
+        o = [m.formula.order if isinstance(m.formula, FormulaSet) else None for m in (old, new, *(second or ()))]
+        if second is not None:
+            a, b = second
+            other = {"parent2_fitness": sign * a.cost, "parent2_complexity": int(round(a.complexity)), "offspring2_fitness": sign * b.cost, "offspring2_complexity": int(round(b.complexity)), "parent2_order": o[2], "offspring2_order": o[3]}
+        else:
+            other = {}
+        self.log.append(other | {
             "generation": generation, "operation_type": kind, "operation_name": name, "parent_fitness": sign * old.cost, "parent_complexity": int(round(old.complexity)),
             "offspring_fitness": sign * new.cost, "offspring_complexity": int(round(new.complexity)), "fitness_delta": old.cost - new.cost, "complexity_delta": int(round(new.complexity - old.complexity)),
             "accepted": accepted, "temperature": temperature if self.s.annealing else None, "probability": p if self.s.annealing else None, "batch_used": self.s.batching,
@@ -199,10 +213,11 @@ class Island:
                 if self.rng.random() < self.s.crossover_probability:
                     b = self.tournament()
                     pair = (self.vary.crossover_sets if sets else self.vary.crossover)(a.formula, b.formula, self.rng)
-                    for old, f in zip((a, b), pair or (), strict=False):
-                        new = self.member(f, rows)
-                        self.note(generation, "crossover", "set_crossover" if sets else "subtree_crossover", old, new, True, heat, 1.0)
+                    if pair is not None:
+                        new, other = (self.member(f, rows) for f in pair)
+                        self.note(generation, "crossover", "subtree_crossover", a, new, True, heat, 1.0, (b, other))
                         self.replace_oldest(new)
+                        self.replace_oldest(other)
                     continue
                 if sets:
                     name, f = self.vary.mutate_set(a.formula, self.rng, fixed_order=isinstance(self.s.order, int))
@@ -218,20 +233,27 @@ class Island:
         self.polish(generation)
 
     def polish(self, generation: int) -> None:
+        """Constants, then aggregations, then a simpler form; each step that changes a member is logged under its own name."""
         for i, m in enumerate(self.members):
-            f, cost = m.formula, m.cost
+
+            def step(kind: str, name: str, f: Formula, m: Member) -> Member:
+                if f == m.formula:
+                    return m
+                new = self.member(f)
+                self.note(generation, kind, name, m, new, True, 1.0, 1.0)
+                return Member(f, new.cost, new.complexity, m.birth)
+
             if self.s.optimise_constants and self.rng.random() < self.s.optimiser_probability:
-                f, cost = optimise_constants(f, self.judge.cost, self.rng, self.s.optimiser, self.s.optimiser_restarts, self.s.optimiser_iterations, self.s.tolerance)
+                f, _ = optimise_constants(m.formula, self.judge.cost, self.rng, self.s.optimiser, self.s.optimiser_restarts, self.s.optimiser_iterations, self.s.tolerance)
+                m = step("optimize_constants", "constant_optimization", f, m)
             if self.s.optimise_aggregations and self.space.aggregates and self.rng.random() < self.s.optimiser_probability:
-                f, cost = optimise_aggregations(f, self.judge.cost, self.space, self.rng)
+                f, _ = optimise_aggregations(m.formula, self.judge.cost, self.space, self.rng)
+                m = step("optimize_aggregations", "aggregation_optimization", f, m)
             if self.s.should_simplify:
-                simple = simplify(f)
-                if self.complexity(simple) < self.complexity(f) and (simple.valid(self.space.limits) if isinstance(simple, FormulaSet) else self.space.limits.valid(simple)):
-                    f = simple
-            if f != m.formula:
-                new = self.member(f)
-                self.note(generation, "optimization", "constant_optimization", m, new, True, 1.0, 1.0)
-                self.members[i] = Member(f, new.cost, new.complexity, m.birth)
+                simple = simplify(m.formula)
+                if self.complexity(simple) < self.complexity(m.formula) and (simple.valid(self.space.limits) if isinstance(simple, FormulaSet) else self.space.limits.valid(simple)):
+                    m = step("simplify", "simplify_set" if isinstance(simple, FormulaSet) else "simplify_tree", simple, m)
+            self.members[i] = m
         self.refresh_constants()
 
     def refresh_constants(self) -> None:

@@ -4,7 +4,12 @@ State is a small table: one row for each island, its formulas as JSON. A generat
 island evolves in its own task over a bounded training sample (broadcast once), so parallelism is
 over islands. Candidates for the archive are then evaluated over *all* training rows: one
 ``mapInPandas`` pass gives partial sums for all candidates at once, and a small aggregate finishes
-them; metrics that are no mean over rows are computed from a scored table. Migration and the archive are handled by the driver; both are tiny.
+them; metrics that are no mean over rows are computed from a scored table. Migration and the archive
+are handled by the driver; both are tiny.
+
+On rasters the islands' sample holds the pixels around each of its rows, so that windows have the
+values they have on the whole raster; for the archive, the windows of all candidates are columns that
+two shuffles compute together.
 """
 
 from __future__ import annotations
@@ -19,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlens.expr.ast import FormulaSet
+from bandlens.expr.ast import Aggregation, FormulaSet, Variable, places, rebuild
 from bandlens.expr.compile_numpy import compiled
+from bandlens.expr.compile_spark import with_windows
 from bandlens.expr.simplify import simplify
 from bandlens.expr.text import from_json, to_json
 from bandlens.operators.metrics import METRICS
@@ -30,9 +36,12 @@ from bandlens.plans.stages import staged
 from bandlens.search.generate import Space
 from bandlens.search.islands import Formula, Island, Judge, Settings, out, with_penalty
 from bandlens.search.losses import LOSSES
+from bandlens.search.vary import Variation
 
 #: Training rows that islands search on; the archive is judged on all rows.
 SAMPLE_ROWS = 20_000
+#: Numbers (rows x neighbours x bands) that a sample of pixels with their surroundings may have; it has fewer rows where they would be more.
+PATCH_NUMBERS = 40_000_000
 #: Formulas of each complexity (the best ones of the islands on the sample) that compete on all rows in a generation.
 CANDIDATES = 5
 #: Losses that are a weighted mean over rows, so that sums of partitions add up.
@@ -59,6 +68,50 @@ def training_sample(df: DataFrame, features: list[str], y: str, weight: str | No
     return x, p["y"].to_numpy(float), p["w"].to_numpy(float) if weight else None
 
 
+def training_patches(df: DataFrame, features: list[str], y: str, weight: str | None, rows: int, seed: int, half: int, row: str, col: str, by: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """(features, labels, weights, patches) of at most ``rows`` labelled pixels; a patch (2 half + 1 square) has NaN where there is no pixel.
+
+    ``df`` has all pixels, unlabelled ones too: they are neighbours. One join gives the neighbours of the chosen pixels.
+    """
+    d, side = len(features), 2 * half + 1
+    rows = max(1, min(rows, PATCH_NUMBERS // (side * side * d)))
+    place = [*by, row, col]
+    pixels = df.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(place)], *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+    ok = F.col("y").isNotNull() & ~F.isnan("y") & F.col("w").isNotNull()
+    for i in range(d):
+        ok &= F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}")
+    p = pixels.filter(ok).orderBy(F.xxhash64(*pixels.columns, F.lit(seed)), *pixels.columns).limit(rows).toPandas()
+    at = [f"_p{i}" for i in range(len(place))]
+    patches = np.full((len(p), side, side, d), np.nan)
+    if len(p):
+        types = dict(pixels.dtypes)
+        chosen = df.sparkSession.createDataFrame(p[at].assign(_i=np.arange(len(p))), ", ".join(f"{c} {types[c]}" for c in at) + ", _i long")
+        reach = F.sequence(F.lit(-half), F.lit(half))
+        around = chosen.withColumn("_dr", F.explode(reach)).withColumn("_dc", F.explode(reach)).withColumns({at[-2]: F.col(at[-2]) + F.col("_dr"), at[-1]: F.col(at[-1]) + F.col("_dc")})
+        near = pixels.join(around, at).select("_i", "_dr", "_dc", *[f"x{i}" for i in range(d)]).toPandas()  # at most PATCH_NUMBERS numbers
+        patches[near["_i"], near["_dr"] + half, near["_dc"] + half] = near[[f"x{i}" for i in range(d)]].to_numpy(float)
+    x = p[[f"x{i}" for i in range(d)]].to_numpy(float)
+    return x, p["y"].to_numpy(float), p["w"].to_numpy(float) if weight else None, patches
+
+
+def windowed(df: DataFrame, formulas: list[Formula], features: list[str], row: str, col: str, by: list[str]) -> tuple[DataFrame, list[Formula], list[str]]:
+    """``df`` with a column for each window in the formulas, the formulas with variables in their place, and all features."""
+    found: dict[Aggregation, str] = {}
+    for f in formulas:
+        for t in f.formulas if isinstance(f, FormulaSet) else (f,):
+            for _, n in places(t):
+                if isinstance(n, Aggregation) and n.spatial is not None:
+                    found.setdefault(n, f"_window{len(found)}")
+    if not found:
+        return df, formulas, features
+    df = df.withColumn("_bands", F.array(*[F.col(c).cast("double") for c in features]))
+    df = with_windows(df, found, "_bands", row, col, by).drop("_bands")
+    at = {n: Variable(len(features) + i, name) for i, (n, name) in enumerate(found.items())}
+    put = lambda t: None if t is None else rebuild(t, lambda n: at.get(n, n))
+    changed = [FormulaSet(tuple(put(t) for t in f.slots)) if isinstance(f, FormulaSet) else put(f) for f in formulas]
+    return df, changed, [*features, *found.values()]
+
+
 def _columns(df: DataFrame, features: list[str], y: str, weight: str | None, formulas: int) -> DataFrame:
     """The columns that formulas are judged on."""
     d = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)], F.col(y).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
@@ -128,11 +181,30 @@ def evaluate_tables(df: DataFrame, formulas: list[Formula], features: list[str],
     return result
 
 
+def _centred(w: np.ndarray, p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Sum of weights, means, and sums of weighted products of the deviations from them."""
+    n = w.sum()
+    if n == 0:
+        return np.zeros(6)
+    mp, mt = (w * p).sum() / n, (w * t).sum() / n
+    return np.array([n, mp, mt, (w * (p - mp) * (t - mt)).sum(), (w * (p - mp) ** 2).sum(), (w * (t - mt) ** 2).sum()])
+
+
+def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two parts (see :func:`_centred`) as those of both."""
+    n = a[0] + b[0]
+    if n == 0 or b[0] == 0:
+        return a
+    dp, dt, k = b[1] - a[1], b[2] - a[2], a[0] * b[0] / n
+    return np.array([n, a[1] + dp * b[0] / n, a[2] + dt * b[0] / n, a[3] + b[3] + k * dp * dt, a[4] + b[4] + k * dp * dp, a[5] + b[5] + k * dt * dt])
+
+
 def evaluate_batch(df: DataFrame, formulas: list[Formula], features: list[str], y: str, weight: str | None, metric: str, out_func: str | None = None, params: dict | None = None) -> list[float]:
     """The metric of each formula over all labelled rows, in one pass. Only for metrics in SUMMABLE (ValueError otherwise).
 
-    A partition sends six sums for each formula, whatever its rows. Rows with a missing feature,
-    label or weight are left out.
+    A partition sends six sums for each formula, whatever its rows; for a correlation these are means
+    and centred moments, which merge without losing digits. Rows with a missing feature, label or
+    weight are left out.
     """
     if metric not in SUMMABLE:
         raise ValueError(f"{metric} is no mean over rows")
@@ -155,22 +227,28 @@ def evaluate_batch(df: DataFrame, formulas: list[Formula], features: list[str],
                 with np.errstate(all="ignore"):
                     p = out(f(x), out_func, given[i])
                     if metric == "pearson":
-                        total[i] += [w.sum(), (w * p).sum(), (w * t).sum(), (w * p * t).sum(), (w * p * p).sum(), (w * t * t).sum()]
+                        total[i] = _together(total[i], _centred(w, p, t))
                     else:
                         total[i, :2] += [w.sum(), w.sum() * loss(t, p, w, **kw)]
         yield pd.DataFrame(total, columns=list("abcdef")).assign(i=np.arange(len(candidates)))
 
     d = _columns(df, features, y, weight, len(formulas))
-    rows = d.mapInPandas(sums, ", ".join(f"{c} double" for c in "abcdef") + ", i int").groupBy("i").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
+    parts = d.mapInPandas(sums, ", ".join(f"{c} double" for c in "abcdef") + ", i int")
     result = [0.0] * len(formulas)
+    if metric == "pearson":
+        c = {x: F.col(x) for x in "abcdef"}
+        n = parts.groupBy("i").agg(F.sum("a").alias("n"), F.try_divide(F.sum(c["a"] * c["b"]), F.sum("a")).alias("mp"), F.try_divide(F.sum(c["a"] * c["c"]), F.sum("a")).alias("mt"))
+        parts = parts.join(F.broadcast(n), "i")  # one row for each formula
+        dp, dt = c["b"] - F.col("mp"), c["c"] - F.col("mt")
+        rows = parts.groupBy("i").agg(F.sum(c["d"] + c["a"] * dp * dt).alias("d"), F.sum(c["e"] + c["a"] * dp * dp).alias("e"), F.sum(c["f"] + c["a"] * dt * dt).alias("f")).collect()
+    else:
+        rows = parts.groupBy("i").agg(*[F.sum(x).alias(x) for x in "ab"]).collect()
     for r in rows:
-        n = r["a"]
         if metric == "pearson":
-            if n:
-                cov = r["d"] / n - r["b"] * r["c"] / n / n
-                vp, vy = r["e"] / n - (r["b"] / n) ** 2, r["f"] / n - (r["c"] / n) ** 2
-                result[r["i"]] = abs(cov / np.sqrt(vp * vy)) if vp > 0 and vy > 0 else 0.0
+            r2 = (r["d"] or 0.0) / np.sqrt(r["e"] * r["f"]) if r["e"] and r["f"] and r["e"] > 0 and r["f"] > 0 else 0.0
+            result[r["i"]] = float(abs(r2)) if np.isfinite(r2) else 0.0
         else:
+            n = r["a"]
             v = r["b"] / n if n else 0.0
             result[r["i"]] = float(np.sqrt(v)) if metric == "rmse" else v
     return result
@@ -185,18 +263,21 @@ def pareto(entries: dict[tuple, tuple[Formula, float]]) -> set[tuple]:
     return set(keys)
 
 
-def _evolver(space: Space, settings: Settings, sent, seed: int, generation: int, pool: list[float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One island's generation, as a function of its row of state."""
+def _evolver(space: Space, settings: Settings, variation: dict, sent, states, seed: int, generation: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A generation of the islands whose numbers a task is given. ``states``: formulas and pool of constants of each."""
 
-    def evolve(p: pd.DataFrame) -> pd.DataFrame:
-        i = int(p["island"].iloc[0])
-        own = replace(space, constants=pool or list(space.constants))
-        island = Island(own, settings, Judge(*sent.value, settings), np.random.default_rng([seed, generation, i]))
-        island.start([decode(s) for s in json.loads(p["state"].iloc[0])])
-        island.evolve(generation, 1.0)
-        best = [(list(k), encode(m.formula), m.cost) for k, m in island.best.items()]
-        members = [(encode(m.formula), m.cost) for m in sorted(island.members, key=lambda m: m.birth)]
-        return pd.DataFrame([{"island": i, "members": json.dumps(members), "best": json.dumps(best), "log": json.dumps(island.log), "constants": json.dumps(own.constants)}])
+    def evolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in b["id"].tolist():
+                formulas, pool = states.value[i]
+                own = replace(space, constants=pool or list(space.constants))
+                x, t, w, patches = sent.value
+                island = Island(own, settings, Judge(x, t, w, settings, patches), np.random.default_rng([seed, generation, i]), Variation(own, **variation))
+                island.start([decode(s) for s in formulas])
+                island.evolve(generation, 1.0)
+                best = [(list(k), encode(m.formula), m.cost) for k, m in island.best.items()]
+                members = [(encode(m.formula), m.cost) for m in sorted(island.members, key=lambda m: m.birth)]
+                yield pd.DataFrame([{"island": i, "members": json.dumps(members), "best": json.dumps(best), "log": json.dumps(island.log), "constants": json.dumps(own.constants)}])
 
     return evolve
 
@@ -204,35 +285,50 @@ def _evolver(space: Space, settings: Settings, sent, seed: int, generation: int,
 class Search:
     """A run of the search: its archive, states, log and history."""
 
-    def __init__(self, space: Space, settings: Settings, seed: int = 0) -> None:
-        self.space, self.s, self.seed = space, settings, seed
+    def __init__(self, space: Space, settings: Settings, seed: int = 0, variation: dict | None = None) -> None:
+        self.space, self.s, self.seed, self.variation = space, settings, seed, variation or {}
         self.archive: dict[tuple, tuple[Formula, float]] = {}
         self.states: list[list[str]] = [[] for _ in range(settings.populations)]
+        #: Each island's own pool of random constants (empty: that of the space).
+        self.pools: list[list[float]] = [[] for _ in range(settings.populations)]
         self.log: list[dict] = []
         self.history: list[dict] = []
         self.generation = 0
         self.judged: set[str] = set()
         #: Whether the islands' sample has all rows, so that their errors are those of the data.
         self.whole = False
+        #: Columns of the pixels' places (row, col, by), where formulas have windows.
+        self.place: dict | None = None
 
-    def run(self, df: DataFrame, features: list[str], y: str, weight: str | None = None, iterations: int = 100, stop: float | Callable | None = None, callbacks: list[Callable] | None = None, every: int = 1, sample_rows: int = SAMPLE_ROWS) -> Search:
-        """Evolve for ``iterations`` generations, or until the best error reaches ``stop`` (or ``stop(self)`` holds)."""
+    def run(self, df: DataFrame, features: list[str], y: str, weight: str | None = None, iterations: int = 100, stop: float | Callable | None = None, callbacks: list[Callable] | None = None, every: int = 1, sample_rows: int = SAMPLE_ROWS, place: dict | None = None) -> Search:
+        """Evolve for ``iterations`` generations, or until the best error reaches ``stop`` (or ``stop(self)`` holds).
+
+        ``place`` (``row``, ``col``, ``by``) is needed for windows; ``df`` then has all pixels, labelled or not.
+        """
         spark = df.sparkSession
         ship(spark)
-        x, t, w = training_sample(df, features, y, weight, sample_rows, self.seed)
+        if self.space.window_stats:
+            if place is None:
+                raise ValueError("windows need the places of the pixels")
+            self.place = place
+            x, t, w, patches = training_patches(df, features, y, weight, sample_rows, self.seed, max(self.space.halves), **place)
+        else:
+            (x, t, w), patches = training_sample(df, features, y, weight, sample_rows, self.seed), None
         if not len(t):
             raise ValueError("no labelled rows without missing features")
-        self.whole = len(t) < sample_rows
-        sent = spark.sparkContext.broadcast((x, t, w))  # bounded by sample_rows
+        self.whole = patches is None and len(t) < sample_rows
+        sent = spark.sparkContext.broadcast((x, t, w, patches))  # bounded by sample_rows and PATCH_NUMBERS
         self.judged = set()
-        space, settings, seed, began = self.space, self.s, self.seed, time.time()
+        settings, began, n = self.s, time.time(), len(self.states)
         for _ in range(iterations):
             generation = self.generation
-            evolve = _evolver(space, settings, sent, seed, generation, list(self.space.constants))
-            rows = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(self.states)], "island int, state string").repartition(len(self.states), "island")
-            done = sorted(rows.groupBy("island").applyInPandas(evolve, "island int, members string, best string, log string, constants string").collect(), key=lambda r: r["island"])
+            states = spark.sparkContext.broadcast(list(zip(self.states, self.pools, strict=True)))  # bounded by the islands' sizes
+            # One partition for each island: no shuffle, and a lost task is that island's generation again.
+            evolve = _evolver(self.space, settings, self.variation, sent, states, self.seed, generation)
+            done = sorted(spark.range(0, n, 1, n).mapInPandas(evolve, "island int, members string, best string, log string, constants string").collect(), key=lambda r: r["island"])
+            states.unpersist()
             self.merge(df, features, y, weight, [b for r in done for b in json.loads(r["best"])])
-            self.space.constants = json.loads(done[0]["constants"]) or self.space.constants
+            self.pools = [json.loads(r["constants"]) for r in done]
             now = time.time() - began
             self.log += [{**e, "timestamp": now, "island": r["island"]} for r in done for e in json.loads(r["log"])]
             self.migrate([json.loads(r["members"]) for r in done])
@@ -269,13 +365,15 @@ class Search:
         self.judged |= {t for _, t, _ in new}
         new = [(k, decode(t), c) for k, t, c in new]
         summable, formulas = self.s.metric in SUMMABLE, [f for _, f, _ in new]
-        errors = None
+        errors, own = None, formulas
+        if self.place is not None:
+            df, formulas, features = windowed(df, formulas, features, **self.place)
         if self.s.custom is None and summable:
             errors = evaluate_batch(df, formulas, features, y, weight, self.s.metric, self.s.out_func, self.s.metric_params)
         elif self.s.custom is None and not self.whole and not any(isinstance(f, FormulaSet) and len(f.formulas) > 1 for f in formulas):
             errors = evaluate_tables(df, formulas, features, y, weight, self.s.metric, self.s.out_func)
         if errors is not None:
-            errors = [with_penalty(f, e, self.s) for f, e in zip(formulas, errors, strict=True)]
+            errors = [with_penalty(f, e, self.s) for f, e in zip(own, errors, strict=True)]
             new = [(k, f, -e if self.s.greater else e) for (k, f, _), e in zip(new, errors, strict=True)]
         for k, f, cost in new:
             cost = float(np.float32(cost))

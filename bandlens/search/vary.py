@@ -31,8 +31,8 @@ def _odds(weights: dict[str, float], rng: np.random.Generator) -> str | None:
     names = [n for n, w in weights.items() if w > 0]
     if not names:
         return None
-    w = np.array([weights[n] for n in names])
-    return names[int(rng.choice(len(names), p=w / w.sum()))]
+    upto = np.cumsum([weights[n] for n in names])
+    return names[min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(names) - 1)]
 
 
 @dataclass
@@ -151,16 +151,16 @@ class Variation:
         return None if new == x else new
 
     def conditioned(self, x: Node) -> dict[str, float]:
-        """The odds for a formula: what can't apply has none; constants are changed by how many there are, long formulas grow no more."""
+        """The odds for a formula: what can't apply has none, leaves are changed by how many there are and of how many kinds, long formulas grow no more."""
         w = dict(self.weights)
-        if not _of(x, Constant):
+        n = len(self.space.variables)
+        # Leaves in the formula, the number from which there are no more odds, and the choice there is (fixed factors).
+        for name, kind, enough, choice in (("mutate_constant", Constant, 8, len(self.space.constants)), ("mutate_variable", Variable, 8, n), ("mutate_aggregation", Aggregation, 5, n / 2)):
+            w[name] *= min(enough, sum(isinstance(m, kind) for _, m in places(x))) / 8 * (np.log(choice + 1) + 1)
+        if not self.space.use_constants:
             w["mutate_constant"] = 0
-        else:
-            w["mutate_constant"] *= min(8, len(_of(x, Constant))) / 8
-        if not _of(x, Variable):
-            w["mutate_variable"] = 0
-        if not _of(x, Aggregation):
-            w["mutate_aggregation"] = 0
+        if not any(isinstance(m, Operation) and len(m.operands) == 2 for _, m in places(x)):
+            w["swap_operands"] = 0
         if not x.children:
             for n in ("mutate_operator", "swap_operands", "rotate_tree", "insert_node", "delete_node", "simplify_tree", "hoist_tree"):
                 w[n] = 0
@@ -197,11 +197,20 @@ class Variation:
         return FormulaSet((*s.slots[:i], f, *s.slots[i + 1 :]))
 
     def mutate_expr(self, s: FormulaSet, rng) -> FormulaSet | None:
+        return self._mutate_expr(s, rng)[1]
+
+    def _mutate_expr(self, s: FormulaSet, rng) -> tuple[str, FormulaSet | None]:
+        """(the name of the formula's own mutation, the set)."""
         i = self._slot(s, rng)
         if i is None:
-            return None
-        _, new = self.mutate(s.slots[i], rng)
-        return None if new is None else self._with(s, i, new)
+            return "mutate_expr", None
+        name, new = self.mutate(s.slots[i], rng)
+        return name, None if new is None else self._with(s, i, new)
+
+    def mutate_set_constant(self, s: FormulaSet, rng) -> FormulaSet | None:
+        """One of all the set's constants changed, as in a single formula."""
+        i = _pick(rng, [i for i, f in enumerate(s.slots) if f is not None for _ in _of(f, Constant)])
+        return None if i is None else self._with(s, i, self.mutate_constant(s.slots[i], rng))
 
     def delete_expr(self, s: FormulaSet, rng) -> FormulaSet | None:
         return self._with(s, self._slot(s, rng), None) if s.order > 1 else None
@@ -238,12 +247,18 @@ class Variation:
         w = dict(self.set_weights)
         if fixed_order:
             w["add_expr"] = w["delete_expr"] = 0
-        name = _odds(w, rng) or "do_nothing_set"
+        n = len(s.constants()) if self.space.use_constants else 0
+        w["mutate_set_constant"] = self.weights["mutate_constant"] * min(8, n) / 8 * (np.log(len(self.space.constants) + 1) + 1)
+        name = own = _odds(w, rng) or "do_nothing_set"
         for _ in range(tries):
-            new = getattr(self, name)(s, rng)
+            if name == "mutate_expr":
+                own, new = self._mutate_expr(s, rng)
+            else:
+                new = getattr(self, name)(s, rng)
+                own = "mutate_constant" if name == "mutate_set_constant" else name
             if new is not None and new.valid(self.space.limits):
-                return name, new
-        return name, None
+                return own, new
+        return own, None
 
     def crossover_sets(self, s: FormulaSet, t: FormulaSet, rng, tries: int = 10) -> tuple[FormulaSet, FormulaSet] | None:
         """Slots exchanged (single, two or multi point) with the set probability, else subtrees of one slot."""

@@ -1,5 +1,7 @@
 """Generation, variation, local optimisation, islands, estimators, persistence, sources, streams."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -221,7 +223,7 @@ def test_registered_searches_have_the_default_parameters(spark, data, name, monk
 
     seen = []
 
-    def run(self, df, features, y, weight=None, iterations=None, stop=None, callbacks=None, every=1, sample_rows=None):
+    def run(self, df, features, y, weight=None, iterations=None, stop=None, callbacks=None, every=1, sample_rows=None, place=None):
         seen.append((iterations, sample_rows, self.s.populations, self.s.population_size, self.s.cycles))
         raise InterruptedError
 
@@ -231,11 +233,84 @@ def test_registered_searches_have_the_default_parameters(spark, data, name, monk
     assert seen == [(100, 20_000, 31, 27, 380)]
 
 
-@pytest.mark.parametrize("kind", [FormulaRegressor, FormulaClassifier, FormulaTransformer])
-def test_windows_are_refused_at_construction(kind):
-    with pytest.raises(ValueError, match="window_stats"):
-        kind(NAMES, window_stats=["max"])
-    kind(NAMES, window_stats=[])
+def _raster(spark, n=14):
+    g = np.random.default_rng(4).normal(size=(n, n, 3))
+    g[2, 3, 1] = np.nan
+    p = np.pad(g[..., 0], 1, constant_values=np.nan)
+    y = np.nanmax(np.stack([p[i : i + n, j : j + n] for i in range(3) for j in range(3)]), 0)
+    rows = [(1, r, c, *map(float, g[r, c]), float(y[r, c]) if (r + c) % 3 else None) for r in range(n) for c in range(n)]
+    return spark.createDataFrame(rows, "scene int, row int, col int, x0 double, x1 double, x2 double, y double")
+
+
+def test_search_on_a_raster(spark, tmp_path):
+    d = _raster(spark)
+    e = FormulaRegressor(NAMES, window_stats=["max", "mean"], halves=[1, 2], by=["scene"], seed=1, **{**SMALL, "max_complexity": 5, "iterations": 2, "cycles": 60, "mean_share": 0.3}).fit(d, "y")
+    rows = e.entries()
+    assert any("_sp(" in r["expression"] for r in rows)
+    for r in rows:  # the stored error is that of the formula on the whole raster
+        got = e.scored(d, "v", [x["expression"] for x in e.entries()].index(r["expression"])).filter("y is not null and not isnan(x1)")
+        assert np.isclose(got.agg(mse(F.col("y"), F.col("v")).alias("m")).first()["m"], r["error"], rtol=1e-4)
+    assert rows[-1]["error"] < 0.05
+    e.save(spark, str(tmp_path / "m"))
+    assert Estimator.load(spark, str(tmp_path / "m")).predict(d).count() == 196
+    c = FormulaClassifier(NAMES, stats=["mean"], window_stats=["mean"], by=["scene"], seed=1, **{**SMALL, "max_complexity": 20, "iterations": 1}).fit(d.withColumn("k", (F.col("y") > 0.9).cast("int")), "k")
+    assert c.predict(d).filter("prediction is not null").count() == 195
+
+
+@pytest.mark.parametrize("stat", ["mean", "max", "min", "sum", "median", "range"])
+def test_windows_of_patches_are_those_of_the_raster(spark, stat):
+    from bandlens.expr.ast import Aggregation
+    from bandlens.expr.compile_numpy import Memo
+    from bandlens.search.train import training_patches
+
+    d = _raster(spark, 7)
+    x, t, w, patches = training_patches(d, NAMES, "y", None, 100, 0, 2, "row", "col", ["scene"])
+    for f in (Aggregation(spatial=stat, half=2, band=1), Aggregation("mean", 0, 2, stat, 1)):
+        e = FormulaRegressor(NAMES, by=["scene"])
+        got = e._with_value(d, f, "v").filter("y is not null and not isnan(x1)").select("x0", "v").toPandas()
+        assert np.allclose(np.sort(got["v"]), np.sort(Memo(x, patches)(f))) and len(got) == len(x)
+
+
+def test_odds_of_mutations_are_used(spark):
+    d = _table(spark)
+    none = dict.fromkeys(TREE_WEIGHTS, 0.0)
+    e = FormulaRegressor(NAMES, logging=True, seed=1, **SMALL, **{**none, "randomize_tree": 1.0}, perturbation_factor=0.5, set_crossover_method="two_point").fit(d, "y")
+    names = {r["operation_name"] for r in e.log(spark).filter("operation_type = 'mutation'").collect()}
+    assert names == {"randomize_tree"}
+    with pytest.raises(ValueError):
+        FormulaRegressor(NAMES, set_crossover_method="other")
+
+
+def test_log_names_and_second_parents(spark):
+    e = FormulaRegressor(NAMES, logging=True, seed=1, crossover_probability=0.5, optimiser_probability=0.5, stats=["mean", "max"], verbose=True, **SMALL).fit(_table(spark), "y")
+    log = e.log(spark).toPandas()
+    assert set(log["operation_type"]) >= {"mutation", "crossover", "optimize_constants"}
+    assert log.loc[log["operation_type"] == "crossover", "offspring2_fitness"].notna().all()
+    assert set(log.loc[log["operation_type"] == "optimize_constants", "operation_name"]) == {"constant_optimization"}
+    assert len({json.dumps(p) for p in e.search.pools}) > 1
+
+
+def test_constraints_are_met_by_counting():
+    limits = Limits(15, None, {"exp": 4, "mul": (3, -1)}, {"exp": {"exp": 0, "sqrt": 1}, "sqrt": {"sqrt": 0}})
+    space = Space(NAMES, ["exp", "sqrt", "mul"], max_complexity=15, limits=limits)
+    rng = np.random.default_rng(0)
+    drawn = [space._draw(int(space.complexities[-1]), rng) for _ in range(300)]
+    assert all(limits.valid(t) for t in drawn) and len(set(drawn)) > 200
+    # Small sizes against all trees: as many as counted.
+    tiny = Space(["x0"], ["exp", "mul"], max_complexity=5, use_constants=False, limits=Limits(5, None, {"mul": (2, -1)}, {"exp": {"exp": 0}}))
+
+    def trees(n):
+        if n == 1:
+            yield parse("x0", ["x0"])
+        for t in trees(n - 1) if n > 1 else ():
+            yield Operation("exp", (t,))
+        for i in range(1, n - 1):
+            for a in trees(i):
+                for b in trees(n - 1 - i):
+                    yield Operation("mul", (a, b))
+
+    for n in range(1, 6):
+        assert sum(c[10 * n] for c in tiny.counts.values()) == sum(tiny.limits.valid(t) for t in trees(n))
 
 
 def test_pareto_of_sets():
