@@ -41,11 +41,12 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else without.
 
     ``rows`` is its count where the caller knows it; otherwise at most ``limit`` + 1 rows are counted.
     Beyond the limit the join shuffles, which AQE can split where a key is hot.
     """
+    limit = BROADCAST_ROWS if limit is None else limit
     n = df.limit(limit + 1).count() if rows is None else rows
     return F.broadcast(df) if n <= limit else df

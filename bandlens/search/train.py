@@ -115,9 +115,10 @@ def windowed(df: DataFrame, formulas: list[Formula], features: list[str], row: s
 def _columns(df: DataFrame, features: list[str], y: str, weight: str | None, formulas: int) -> DataFrame:
     """The columns that formulas are judged on."""
     d = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)], F.col(y).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
-    # Work is candidates x rows, all of it CPU: few input splits must not leave cores idle.
+    # Work is candidates x rows, all of it CPU: the few splits of a small input must not leave cores idle.
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return d.repartition(cores) if formulas >= 16 and d.rdd.getNumPartitions() < cores else d
+    few = formulas >= 16 and int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * 32 * 2**20
+    return d.repartition(cores) if few else d
 
 
 def _complete(b: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
