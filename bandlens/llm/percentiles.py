@@ -13,16 +13,18 @@ separate files, runs or days can be united and merged again.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bandlens.plans.ordered import cumulated
 from bandlens.plans.stages import small, staged
 
 K = 400
@@ -52,7 +54,7 @@ def compact(levels: list[np.ndarray], err2: float, k: int, rng: np.random.Genera
 
 
 def _rng(seed: int) -> np.random.Generator:
-    """Random numbers of a task: the same ones if it runs again."""
+    """Random numbers of a task: the same ones if it runs again. Each step has its own ``seed``, so that its coins are independent of those of the steps before."""
     task = TaskContext.get()
     return np.random.default_rng([seed, task.partitionId() if task else 0])
 
@@ -240,15 +242,15 @@ def exact(values: DataFrame, keys: list[str], value: str, bounds: DataFrame) ->
     def within(b: DataFrame) -> DataFrame:
         b = staged(b.select(*keys, "q", "n", "low", "high"), "bounds")
         joined = values.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v")).join(small(b), keys)
-        joined = joined.filter(F.col("_v") <= F.col("high"))
-        below = joined.groupBy(*keys, "q").agg(F.sum(F.when(F.col("_v") < F.col("low"), 1).otherwise(0)).alias("below"), F.sum(F.when(F.col("_v") >= F.col("low"), 1).otherwise(0)).alias("inside"))
-        place = F.row_number().over(Window.partitionBy(*keys, "q").orderBy("_v")) - 1
-        rank = (F.col("n") - 1) * F.col("q")
-        ranked = joined.filter(F.col("_v") >= F.col("low")).withColumn("place", place).join(small(staged(below, "below")), [*keys, "q"]).withColumn("rank", F.col("place") + F.col("below"))
-        ranked = ranked.filter((F.col("rank") == F.floor(rank)) | (F.col("rank") == F.ceil(rank)))
-        weight: Column = rank - F.floor(rank)
-        lo, hi = F.max(F.when(F.col("rank") == F.floor(rank), F.col("_v"))), F.max(F.when(F.col("rank") == F.ceil(rank), F.col("_v")))
-        return ranked.groupBy(*keys, "q").agg(F.max(weight).alias("w"), lo.alias("lo"), hi.alias("hi")).filter("lo is not null and hi is not null").select(*keys, "q", F.when((F.col("w") == 0) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("lo") * (1 - F.col("w")) + F.col("hi") * F.col("w")).alias("exact"))
+        # Equal values are one row, and all those below the bounds another; ranks come from range partitions, so no task holds a group.
+        low = F.col("_v") < F.col("low")
+        counted = joined.filter(F.col("_v") <= F.col("high")).groupBy(*keys, "q", "n", F.when(low, F.lit(float("-inf"))).otherwise(F.col("_v")).alias("_v"), low.alias("_low")).agg(F.count(F.lit(1)).alias("c"))
+        counted = counted.withColumn("_place", F.struct((~F.col("_low")).alias("x"), "_v"))
+        placed = cumulated(counted, "_place", ["c"], [*keys, "q"]).filter("not _low")
+        rank: Column = (F.col("n") - 1) * F.col("q")
+        has = lambda r: F.max(F.when((F.col("before_c") <= r) & (r < F.col("before_c") + F.col("c")), F.col("_v")))
+        ranked = placed.groupBy(*keys, "q").agg(F.max(rank - F.floor(rank)).alias("w"), has(F.floor(rank)).alias("lo"), has(F.ceil(rank)).alias("hi")).filter("lo is not null and hi is not null")
+        return ranked.select(*keys, "q", F.when((F.col("w") == 0) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("lo") * (1 - F.col("w")) + F.col("hi") * F.col("w")).alias("exact"))
 
     found = staged(within(bounds), "exact")
     missed = bounds.join(found.select(*keys, "q"), [*keys, "q"], "left_anti")
@@ -279,9 +281,10 @@ def log_sketches(log: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
 
 
 def rolled(sketches: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """Merged to fewer keys, in two steps."""
+    """Merged to fewer keys, in two steps, each with coins of its own."""
+    seed = zlib.crc32(",".join(keys).encode())
     salted = sketches.withColumn("salt", F.pmod(F.xxhash64("run_id"), F.lit(32)).cast("int"))
-    return merged(merged(salted, [*keys, "salt"], k), keys, k, seed=2)
+    return merged(merged(salted, [*keys, "salt"], k, seed), keys, k, seed + 1)
 
 
 def log_percentiles(log: DataFrame, quantiles: list[float], k: int = K) -> DataFrame:
