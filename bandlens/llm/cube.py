@@ -25,73 +25,108 @@ from bandlens.plans.stages import small, staged
 NEAR = 1e-9
 
 
-def move(a: float, b: float, u: float) -> tuple[float, float]:
-    """One step along (1, -1): both stay within 0 and 1, one reaches an end, and the expected change is 0."""
-    up, down = min(1 - a, b), min(a, 1 - b)
-    if u * (up + down) < down:
-        a, b = a + up, b - up
-    else:
-        a, b = a - down, b + down
-    return (0.0 if a < NEAR else 1.0 if a > 1 - NEAR else a), (0.0 if b < NEAR else 1.0 if b > 1 - NEAR else b)
-
-
-def fly(keys: list, pi: list[float], u: list[float], waiting: dict, rows: list) -> list:
-    """Fly records in turn against the one that waits under the same key; the rows that came to 1."""
-    won = []
-    for key, p, x, row in zip(keys, pi, u, rows, strict=True):
-        if p <= NEAR:
-            continue
-        if p >= 1 - NEAR:
-            won.append(row)
-            continue
-        other = waiting.pop(key, None)
-        if other is None:
-            waiting[key] = (p, row)
-            continue
-        q, p = move(other[0], p, x)
-        for value, r in ((q, other[1]), (p, row)):
-            if value == 1.0:
-                won.append(r)
-            elif value > 0.0:
-                waiting[key] = (value, r)
-    return won
+def fly(group: np.ndarray, pi: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that came to 1, rows that stay open, their probabilities): all groups flown at once, in the order of their rows.
+
+    A row meets the one that is open: the vector (1, -1) moves both until one is 0 or 1, and expected
+    values stay. Done row by row, of two whose sum is below 1 one goes on with the sum, by its share
+    of it; at a sum of 1 or more one is taken and the other goes on with what is over. So a group's
+    cumulated probabilities cut it at whole numbers into strata that give one row each, and all rows'
+    steps follow from the place of a random number in a stratum (``v``) and a choice at its end
+    (``u``), both of the row that ends it. At most one row of a group stays open.
+    """
+    sure, flown = np.flatnonzero(pi >= 1 - NEAR), np.flatnonzero((pi > NEAR) & (pi < 1 - NEAR))
+    at = flown[np.argsort(group[flown], kind="stable")]
+    if not len(at):
+        return sure, at, np.zeros(0)
+    g, p = group[at], pi[at]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    size = np.diff(np.append(first, len(g)))
+    total = np.cumsum(p)
+    upto = total - np.repeat(total[first] - p[first], size)
+    before = upto - p
+    low, high = np.floor(before + NEAR), np.floor(upto + NEAR)
+    # The rows that end a stratum, and each group's last row where something is left over after it.
+    ends = high > low
+    last = np.zeros(len(g), bool)
+    last[first + size - 1] = True
+    rest = np.where(last & (upto - high > NEAR), upto - high, 0.0)
+    k = np.flatnonzero(ends)
+    a, over = high[k] - before[k], np.maximum(upto[k] - high[k], 0.0)
+    # A number below the end's own part, from the stratum's begin: the row it falls on won until then.
+    origin = np.repeat(np.arange(len(first)), size)
+    base = np.concatenate([[0], np.cumsum(np.ceil(upto[first + size - 1]) + 1)])[:-1]
+    ladder = base[origin] + upto
+    begin = high[k] - 1
+    start = first[origin[k]]
+    won_at = lambda spot, lo, hi: np.clip(np.searchsorted(ladder, spot, side="right"), lo, hi)
+    winner = won_at(base[origin[k]] + begin + v[at[k]] * (1 - a), start, k)
+    alone = 1 - a <= NEAR  # nothing before it in its stratum
+    winner = np.where(alone, k, np.minimum(winner, np.maximum(k - 1, start)))
+    takes = alone | (u[at[k]] * (1 - over) >= 1 - a - over)  # the end itself is taken, and the winner goes on
+    # The winner is a row of the stratum, or what the stratum before handed on.
+    same = np.concatenate([[False], origin[k][1:] == origin[k][:-1]]) if len(k) else np.zeros(0, bool)
+    previous = np.concatenate([[-1], k[:-1]]) if len(k) else k
+    handed = same & (winner == previous) & ~alone
+    # What each end hands on: itself, the winner, or what it was handed; the nearest known one backwards.
+    known = ~(takes & handed)
+    source = np.maximum.accumulate(np.where(known, np.arange(len(k)), 0)) if len(k) else k
+    handing = np.where(takes & ~alone, winner, k)[source]
+    before_it = np.concatenate([[-1], handing[:-1]]) if len(k) else k
+    real = np.where(handed, before_it, winner)
+    taken = np.where(takes, k, real)
+    # The open row of each group: the winner of what is over.
+    tail = np.flatnonzero(rest > 0)
+    spot = base[origin[tail]] + high[tail] + v[at[tail]] * rest[tail]
+    left = won_at(spot, first[origin[tail]], tail)
+    end_before = np.searchsorted(k, tail, side="right") - 1
+    inherits = (end_before >= 0) & (k[np.maximum(end_before, 0)] == left) if len(k) else np.zeros(len(tail), bool)
+    left = np.where(inherits, handing[np.maximum(end_before, 0)], left) if len(k) else left
+    return np.concatenate([sure, at[taken]]), at[left], rest[tail]
 
 
 def draw(units: DataFrame, plan: str, category: str, key: str, pi: str, seed: int = 0) -> DataFrame:
     """The records of a balanced sample: ``plan``, ``category``, ``key``. ``units`` has these and ``pi``."""
     types = dict(units.dtypes)
+    names = [plan, category, key]
 
-    def uniform(phase: int):
-        # Each phase has its own numbers: an unresolved record's first one has already decided that it is unresolved.
-        return (F.pmod(F.xxhash64(F.col(plan), F.col(key), F.lit(2 * seed + phase)), F.lit(2**52)) / F.lit(float(2**52))).alias("u")
+    def uniform(phase: int) -> list:
+        # Each phase has its own numbers: an unresolved record's first ones have already decided that it is unresolved.
+        return [(F.pmod(F.xxhash64(F.col(plan), F.col(key), F.lit(4 * seed + 2 * phase + i)), F.lit(2**52)) / F.lit(float(2**52))).alias(c) for i, c in enumerate("uv")]
 
     schema = f"`{plan}` {types[plan]}, `{category}` {types[category]}, `{key}` {types[key]}, pi double"
 
+    def step(b: pd.DataFrame, by: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """(rows taken, rows open with their probabilities) of a flight along the kernel of the groups ``by``."""
+        group = b.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        taken, left, p = fly(group, b["pi"].to_numpy(float), b["u"].to_numpy(float), b["v"].to_numpy(float))
+        return b.iloc[taken][names].assign(pi=1.0), b.iloc[left].assign(pi=p)
+
     def flight(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: dict = {}
+        waiting = None
         for b in batches:
-            rows = list(zip(b[plan], b[category], b[key], strict=True))
-            won = fly([(r[0], r[1]) for r in rows], b["pi"].tolist(), b["u"].tolist(), waiting, rows)
-            yield pd.DataFrame(won, columns=[plan, category, key]).assign(pi=1.0)
-        left = [(*row, p) for p, row in waiting.values()]
-        yield pd.DataFrame(left, columns=[plan, category, key, "pi"])
+            taken, waiting = step(b if waiting is None else pd.concat([waiting, b], ignore_index=True), [plan, category])
+            # The open row has used its numbers; the next one that ends a stratum brings its own.
+            yield taken
+        if waiting is not None:
+            yield waiting[[*names, "pi"]]
 
     def landing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: dict = {}
+        waiting = None
         for b in batches:
-            rows = list(zip(b[plan], b[category], b[key], strict=True))
-            won = fly([(r[0], r[1]) for r in rows], b["pi"].tolist(), b["u"].tolist(), waiting, rows)
-            yield pd.DataFrame(won, columns=[plan, category, key]).assign(pi=1.0)
-        last = sorted(waiting.items(), key=lambda x: (str(x[0]), str(x[1][1][2])))
-        rng = np.random.default_rng([seed, len(last)])
-        by_plan: dict = {}
-        won = fly([k[0] for k, _ in last], [p for _, (p, _) in last], rng.random(len(last)).tolist(), by_plan, [row for _, (_, row) in last])
-        won += [row for p, row in by_plan.values() if rng.random() < p]
-        yield pd.DataFrame(won, columns=[plan, category, key]).assign(pi=1.0)
-
-    first = units.select(plan, category, key, F.col(pi).cast("double").alias("pi"), uniform(0)).filter("pi > 0")
+            taken, waiting = step(b if waiting is None else pd.concat([waiting, b], ignore_index=True), [plan, category])
+            yield taken
+        if waiting is not None and len(waiting):
+            # Only a plan's total is kept now: the open rows of its categories meet, and a last one is drawn.
+            rng = np.random.default_rng([seed, len(waiting)])
+            waiting = waiting.sort_values([plan, category, key], ignore_index=True).assign(u=rng.random(len(waiting)), v=rng.random(len(waiting)))
+            taken, waiting = step(waiting, [plan])
+            yield taken
+            yield waiting[rng.random(len(waiting)) < waiting["pi"].to_numpy()][names].assign(pi=1.0)
+
+    first = units.select(*names, F.col(pi).cast("double").alias("pi"), *uniform(0)).filter("pi > 0")
     flown = staged(first.mapInPandas(flight, schema), "flown")
-    open_units = flown.filter("pi < 1").select("*", uniform(1)).repartition(plan)
+    open_units = flown.filter("pi < 1").select("*", *uniform(1)).repartition(plan)
     landed = staged(open_units.mapInPandas(landing, schema), "landed")
     return flown.filter("pi = 1").unionByName(landed).drop("pi")
 
@@ -109,7 +144,8 @@ def sample_to_targets(records: DataFrame, plans: DataFrame, key: str = "sample_i
 
     sample: ``plan_id``, ``label``, ``key``. report: for each plan and label ``need``, ``available``,
     ``expected``, ``drawn``, ``target_share``, ``drawn_share`` (of what the plan drew), ``residual``
-    (drawn minus sample_size x target_share) and ``short`` (fewer records than the need).
+    (drawn minus sample_size x target_share) and ``short``: the sample fell short of the need, and an
+    exact count shows that there are fewer records than that (landing alone may leave one record out).
     """
     size, share = F.coalesce("sample_size", F.lit(0)), F.coalesce("target_share", F.lit(0.0))
     minimum = F.coalesce("min_count", F.lit(0))

@@ -110,6 +110,22 @@ SQL = {
             SELECT 1 FROM v AS y WHERE y.label = x.label AND y.a BETWEEN x.a - 2 AND x.a + 2 AND y.b BETWEEN x.b - 2 AND x.b + 2
             AND y.sample_id <> x.sample_id AND abs(y.NIR - x.NIR) < 0.0105 AND abs(y.SWIR1 - x.SWIR1) < 0.00025)
     """,
+    # Links by cells of one tolerance; components by carrying the smallest sample along the links.
+    "p2_found": _RECORDS.replace("WITH", "WITH RECURSIVE")
+    + """
+        , v AS (SELECT sample_id AS id, Blue AS a, Green AS b, Red AS c, SWIR2 AS d, CAST(floor(Blue / 0.0105) AS INT) AS i, CAST(floor(Green / 0.0105) AS INT) AS j, CAST(floor(Red / 0.0105) AS INT) AS k
+                FROM r WHERE Blue BETWEEN 0 AND 1 AND Green BETWEEN 0 AND 1 AND Red BETWEEN 0 AND 1 AND SWIR2 BETWEEN 0 AND 1),
+        w AS (SELECT id, min(id) OVER (PARTITION BY a, b, c, d) AS rep, a, b, c, d, i, j, k FROM v),
+        u AS (SELECT DISTINCT rep AS id, a, b, c, d, i, j, k FROM w),
+        e AS MATERIALIZED (SELECT x.id AS x, y.id AS y FROM u AS x JOIN (SELECT u.*, i + p.range AS i2, j + q.range AS j2, k + s.range AS k2 FROM u, range(-1, 2) AS p, range(-1, 2) AS q, range(-1, 2) AS s) AS y
+              ON x.i = y.i2 AND x.j = y.j2 AND x.k = y.k2
+              WHERE x.id <> y.id AND abs(x.a - y.a) < 0.0105 AND abs(x.b - y.b) < 0.0105 AND abs(x.c - y.c) < 0.0105 AND abs(x.d - y.d) < 0.0105),
+        g(id, head) USING KEY (id) AS (SELECT id, id FROM u
+              UNION SELECT n.id, n.head FROM (SELECT e.x AS id, min(g.head) AS head FROM g JOIN e ON e.y = g.id GROUP BY e.x) AS n JOIN recurring.g AS o ON o.id = n.id WHERE n.head < o.head),
+        m AS (SELECT w.id, g.head FROM w JOIN g ON g.id = w.rep),
+        n AS (SELECT head, count(*) AS size FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40)
+        SELECT m.head AS head_id, m.id AS sample_id FROM m JOIN n ON n.head = m.head WHERE m.id <> m.head
+    """,
     "p4_found": _RECORDS
     + """
         SELECT p.plan_id, p.label FROM sampling_plans AS p

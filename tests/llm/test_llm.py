@@ -115,6 +115,38 @@ def test_linked_clusters(spark, seed):
     assert got == _linked(p, 0.0105)
 
 
+def test_linked_clusters_across_many_small_blocks_without_broadcasts(spark, monkeypatch):
+    from bandlens.plans import stages
+
+    monkeypatch.setattr(cluster, "BLOCK_LEAVES", 300)
+    monkeypatch.setattr(cluster, "BLOCK", 3)
+    monkeypatch.setattr(stages, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(7)
+    p = pd.DataFrame(np.round(rng.random((700, 3)) * [0.2, 0.06, 0.05], 4), columns=["a", "b", "c"]).assign(id=rng.permutation(700))
+    got = {tuple(r) for r in cluster.linked_clusters(spark.createDataFrame(p), "id", ["a", "b", "c"], 0.0105, 1).collect()}
+    assert cluster.block_side(3) == 1 and got == _linked(p, 0.0105)
+
+
+@pytest.mark.parametrize("gap", [0.0103, 0.0107])
+def test_many_equal_records_in_two_leaves_that_stay_open(spark, gap):
+    # Two leaves two apart whose bounds decide nothing: a hundred thousand equal records in each, and one more that widens the leaf.
+    n = 50_000
+    d = spark.range(2 * n + 2).select("id", F.when(F.col("id") < n, 0.0040).when(F.col("id") < 2 * n, 0.0040 + gap).when(F.col("id") == 2 * n, 0.0001).otherwise(0.0156).alias("a"), F.lit(0.5).alias("b"), F.lit(0.5).alias("c"))
+    got = cluster.linked_clusters(d, "id", ["a", "b", "c"], 0.0105, 1).groupBy("head", "size").count().orderBy("head").collect()
+    assert [tuple(r) for r in got] == ([(0, 2 * n + 2, 2 * n + 2)] if gap < 0.0105 else [(0, n + 1, n + 1), (n, n + 1, n + 1)])
+
+
+def test_features_are_reduced_up_the_tree(spark):
+    rng = np.random.default_rng(0)
+    p = pd.DataFrame(rng.random((3000, 2)), columns=["a", "b"]).assign(id=range(3000))
+    rows = cluster.usable(spark.createDataFrame(p), "id", ["a", "b"])
+    table = cluster.leaves(rows, "id", ["a", "b"], 0.01)
+    few = cluster.reduced(table, 2, 100).toPandas()
+    assert len(few) <= 100 and few.n.sum() == 3000 and np.isclose(few.s0.sum(), p.a.sum()) and np.isclose(few.q.sum(), (p[["a", "b"]] ** 2).to_numpy().sum())
+    c = cluster.clusters(spark.createDataFrame(p), "id", ["a", "b"], 0.02, k=4, max_leaves=100).toPandas()
+    assert c.drop_duplicates("cluster")["size"].sum() == 3000 and (c["spread"] > 0).all()
+
+
 def test_links_at_the_leaves_edges(spark):
     # Chains of points just within and just beyond the tolerance, across leaves.
     v = np.cumsum([0.0] + [0.0104] * 6 + [0.0106] + [0.0104] * 4)
@@ -238,10 +270,28 @@ def test_inclusion_is_fair(spark):
     assert n.sum() == 3000 and n.min() > 40 and n.max() < 115
 
 
-def test_move_is_a_martingale():
-    rng = np.random.default_rng(0)
-    got = np.array([cube.move(0.3, 0.5, u) for u in rng.random(20000)])
-    assert np.allclose(got.mean(0), [0.3, 0.5], atol=0.01) and np.allclose(got.sum(1), 0.8) and ((got == 0) | (got == 1)).any(1).all()
+@pytest.mark.parametrize("seed", range(3))
+def test_flights_keep_expected_values(seed):
+    rng = np.random.default_rng(seed)
+    m, runs = 14, 6000
+    p = np.round(rng.random(m), 2)
+    p[:3] = [1.0, 0.0, 0.5]
+    one = np.concatenate([p, [0.25] * 8, [1 / 3] * 3, [0.9]])  # four groups; 8 / 4 and 3 / 3 end at whole numbers
+    of = np.repeat([0, 1, 2, 3], [m, 8, 3, 1])
+    group = np.concatenate([of + 4 * i for i in range(runs)])
+    pi = np.tile(one, runs)
+    order = rng.permutation(len(pi))
+    taken, left, rest = cube.fly(group[order], pi[order], rng.random(len(pi)), rng.random(len(pi)))
+    taken, left = order[taken], order[left]
+    assert len(set(taken)) == len(taken) and not set(taken) & set(left) and len(set(group[left])) == len(left)
+    n = np.bincount(group[taken], minlength=4 * runs).reshape(runs, 4)
+    total = np.bincount(of, one)
+    assert (n == np.floor(total + 1e-9)).all()
+    value = np.zeros(len(pi))
+    value[taken] = 1
+    value[left] = rest
+    assert np.allclose(value.reshape(runs, -1).mean(0), one, atol=4 * 0.5 / np.sqrt(runs))
+    assert np.allclose(np.bincount(group, value), np.tile(total, runs))
 
 
 def test_samples_of_empty_tables(spark):
