@@ -68,6 +68,12 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return _targets(spark, d)[1]
 
 
+def p4_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What SQL can say of the samples: needs, records, expected counts, and that each count is next to the expected one."""
+    r = _targets(spark, d)[1]
+    return r.select("plan_id", "label", "need", "available", (F.round("expected", 6) + 0.0).alias("expected"), (F.abs(F.col("drawn") - F.col("expected")) < 1).alias("near"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -97,7 +103,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return language.detect_languages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_subset, p2_found, p2_clusters, p3_found, p3_percentiles, p4_found, p4_sample, p4_shares, p6_ids, p7_found, p7_sample, p7_shares, p8_found, p8_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_subset, p2_found, p2_clusters, p3_found, p3_percentiles, p4_found, p4_sample, p4_shares, p4_targets, p6_ids, p7_found, p7_sample, p7_shares, p8_found, p8_passages)}
 
 _RECORDS = "WITH r AS (SELECT * FROM sentinel2_water WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at DESC, row_id DESC) = 1)"
 
@@ -132,6 +138,15 @@ SQL = {
         LEFT JOIN (SELECT scene_id, label, count(*) AS n FROM r GROUP BY 1, 2) AS c ON c.scene_id = p.scene_id AND c.label = p.label
         WHERE coalesce(c.n, 0) < greatest(coalesce(p.min_count, 0), CAST(floor(p.sample_size * p.target_share + 0.5) AS INT))
     """,
+    "p4_targets": _RECORDS
+    + """
+        , n AS (SELECT p.plan_id, p.label, p.sample_size, p.sample_size * p.target_share AS target, coalesce(p.min_count, 0) AS least, coalesce(c.n, 0) AS available,
+                       greatest(coalesce(p.min_count, 0), CAST(floor(p.sample_size * p.target_share + 0.5) AS INT)) AS need
+                FROM sampling_plans AS p LEFT JOIN (SELECT scene_id, label, count(*) AS n FROM r GROUP BY 1, 2) AS c ON c.scene_id = p.scene_id AND c.label = p.label),
+        t AS (SELECT *, least(need, available) AS take, least(need, available) - least(least, need, available) AS spare FROM n),
+        w AS (SELECT *, greatest(sum(take) OVER p - sample_size, 0) AS over, sum(spare) OVER p AS spares, max(CASE WHEN least > floor(target + 0.5) THEN 1 ELSE 0 END) OVER p AS forced FROM t WINDOW p AS (PARTITION BY plan_id))
+        SELECT plan_id, label, need, available, round(CASE WHEN forced = 1 AND over > 0 AND spares > 0 THEN take - least(over, spares) * spare / spares ELSE CAST(take AS DOUBLE) END, 6) + 0.0 AS expected, true AS near FROM w
+    """,
     "p3_found": """
         WITH entries AS (
             SELECT DISTINCT run_id, entry_no, regexp_replace(lower(trim(operation_name)), '[ -]', '_', 'g') AS operation_name,

@@ -32,6 +32,31 @@ def test_subset_finds_all_that_are_alone_and_has_its_size(spark, size):
     assert set(s[s.alone].id) == _alone(p)
 
 
+def test_core_sets_are_farthest_points_and_compose(spark):
+    rng = np.random.default_rng(5)
+    p = pd.DataFrame({"id": np.arange(900), "g": 1, "a": rng.random(900), "b": rng.random(900), "c0": np.int32(0), "c1": rng.integers(0, 2, 900).astype(np.int32)})
+    core = varied.core_set(spark.createDataFrame(p).repartition(7), "id", "g", ["c0", "c1"], ["a", "b"], 6, [1.0, 1.0]).toPandas()
+    assert (core.groupby("c1").size() == 6).all() and core.groupby("c1").kind_n.first().to_dict() == p.groupby("c1").size().to_dict()
+    for k, own in core.groupby("c1"):
+        x, kept = p[p.c1 == k][["a", "b"]].to_numpy(), own[["a", "b"]].to_numpy()
+        near = np.sqrt(((x[:, None] - kept[None]) ** 2).sum(2)).min(1).max()
+        apart = min(np.hypot(*(u - v)) for i, u in enumerate(kept) for v in kept[:i])
+        assert near <= 3 * apart  # what a farthest-point selection of farthest-point selections keeps to
+    turn = varied.farthest(np.array([[0.0], [1.0], [9.0], [5.0], [2.0]]), np.array([0, 0, 0, 0, 1]), 3)
+    assert turn.tolist() == [0, 3, 1, 2, 0]
+
+
+def test_groups_of_many_kinds_are_searched_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    p = pd.DataFrame({"id": np.arange(2000), "g": rng.integers(0, 2, 2000), "a": rng.random(2000), "b": rng.random(2000)})
+    monkeypatch.setattr(varied, "CANDIDATES", 4)
+    s = varied.varied_subset(spark.createDataFrame(p), 40, "id", "g", {"a": 0.01, "b": 0.01}).toPandas()
+    monkeypatch.setattr(varied, "CANDIDATES", 10**6)
+    t = varied.varied_subset(spark.createDataFrame(p), 40, "id", "g", {"a": 0.01, "b": 0.01}).toPandas()
+    total = lambda q: sum(np.hypot(*(u - v)) for _, own in q.groupby("g") for i, u in enumerate(own[["a", "b"]].to_numpy()) for v in own[["a", "b"]].to_numpy()[:i])
+    assert len(s) == len(t) == 40 and total(s) >= 0.97 * total(t)
+
+
 def test_subset_smaller_than_the_alone(spark):
     s = varied.varied_subset(spark.createDataFrame(_points()), 5, "id", "g", SIDES).toPandas()
     assert len(s) == 5 and set(s.id) <= _alone(_points())
@@ -378,6 +403,33 @@ def test_mix_reaches_its_shares(spark):
     assert np.isclose(r.xs(1, level="mix_id").reached_share.sum(), 1)
 
 
+def test_inclusion_grows_with_size_and_large_documents_are_certain(spark):
+    sizes = [10] * 60 + [20] * 30 + [40] * 15 + [2000]
+    docs = [(i, 1, "a", n) for i, n in enumerate(sizes)]
+    d = spark.createDataFrame(docs, "doc_id long, term int, source string, n_tokens int")
+    mixes = spark.createDataFrame([(m, 1, 2450, "a", 1.0, 1) for m in range(1)], MIXES)
+    n, p = np.zeros(len(sizes)), None
+    for seed in range(40):
+        s = mix.mix_sources(d, mixes, seed=seed)[0].toPandas()
+        assert abs((s.n_tokens * s.copies).sum() - 2450) <= 5
+        n[s.doc_id] += 1
+        p = s.set_index("doc_id").p if p is None else p.combine_first(s.set_index("doc_id").p)
+    assert n[-1] == 40 and p[len(sizes) - 1] == 1.0
+    for size in (10, 20, 40):
+        own = np.array([x == size for x in sizes])
+        want = p[[i for i in p.index if sizes[i] == size]].iloc[0]
+        assert np.isclose(want, 450 * size / sum(x * x for x in sizes[:-1])) and abs(n[own].mean() / 40 - want) < 0.05
+
+
+def test_repeated_and_null_keys_in_a_mix(spark):
+    docs = [(7, 1, "a", 30)] * 40 + [(None, 1, "a", 30)] * 40 + [(8, 1, "a", 0), (9, 1, "a", None)]
+    d = spark.createDataFrame(docs, "doc_id long, term int, source string, n_tokens int")
+    sample, report = mix.mix_sources(d, spark.createDataFrame([(1, 1, 1200, "a", 1.0, 1), (2, 1, 3000, "a", 1.0, 2)], MIXES))
+    r = {x["mix_id"]: x for x in report.collect()}
+    assert r[1]["reached_tokens"] == 1200 and r[2]["reached_tokens"] == 3000 and not r[2]["unmet"]
+    assert sample.filter("mix_id = 1").count() == 40 and sample.filter("mix_id = 2").agg(F.max("copies")).first()[0] == 2
+
+
 def test_mix_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id long, term int, source string, n_tokens int")
     sample, report = mix.mix_sources(d, spark.createDataFrame([(1, 1, 100, "a", 1.0, 2), (1, 1, 100, None, 0.5, 1)], MIXES))
