@@ -405,20 +405,15 @@ def test_mix_reaches_its_shares(spark):
 
 def test_inclusion_grows_with_size_and_large_documents_are_certain(spark):
     sizes = [10] * 60 + [20] * 30 + [40] * 15 + [2000]
-    docs = [(i, 1, "a", n) for i, n in enumerate(sizes)]
-    d = spark.createDataFrame(docs, "doc_id long, term int, source string, n_tokens int")
-    mixes = spark.createDataFrame([(m, 1, 2450, "a", 1.0, 1) for m in range(1)], MIXES)
-    n, p = np.zeros(len(sizes)), None
-    for seed in range(40):
-        s = mix.mix_sources(d, mixes, seed=seed)[0].toPandas()
-        assert abs((s.n_tokens * s.copies).sum() - 2450) <= 5
-        n[s.doc_id] += 1
-        p = s.set_index("doc_id").p if p is None else p.combine_first(s.set_index("doc_id").p)
-    assert n[-1] == 40 and p[len(sizes) - 1] == 1.0
+    runs, m = 60, len(sizes)
+    d = spark.createDataFrame([(t * m + i, t, "a", n) for t in range(runs) for i, n in enumerate(sizes)], "doc_id long, term int, source string, n_tokens int")
+    mixes = spark.createDataFrame([(t, t, 2450, "a", 1.0, 1) for t in range(runs)], MIXES)
+    s = mix.mix_sources(d, mixes)[0].toPandas()
+    assert ((s.n_tokens * s.copies).groupby(s.mix_id).sum() - 2450).abs().max() <= 10 and (s[s.n_tokens == 2000].p == 1).sum() == runs
     for size in (10, 20, 40):
-        own = np.array([x == size for x in sizes])
-        want = p[[i for i in p.index if sizes[i] == size]].iloc[0]
-        assert np.isclose(want, 450 * size / sum(x * x for x in sizes[:-1])) and abs(n[own].mean() / 40 - want) < 0.05
+        own = s[s.n_tokens == size]
+        want = 450 * size / sum(x * x for x in sizes[:-1])
+        assert np.allclose(own.p, want) and abs(len(own) / runs / sizes.count(size) - want) < 0.06
 
 
 def test_repeated_and_null_keys_in_a_mix(spark):
