@@ -208,8 +208,31 @@ def block_side(d: int) -> int:
 def join_block(cells: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label of each leaf, the two ends of the pairs that stay open) in one block; ``own``: leaves that are not of the margin.
 
-    Pairs of leaves up to two apart are met by their offsets. Links among leaves of the margin are
-    links too. Of a pair only the block of its lower end reports that it is open.
+    Links among leaves of the margin are links too. Of a pair only the block of its lower end reports
+    that it is open.
+    """
+    m = len(cells)
+    # Leaves that touch first: most of the others are then in one component already.
+    label = _local(*np.concatenate([np.zeros((2, 0), np.int64), *[np.stack(e) for e in _met(cells, 1)]], 1), m)
+    ends, doubt = [np.stack([np.arange(m), label])], []
+    for i, j in _met(cells, 2):
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        some = (np.maximum(lo[i] - hi[j], lo[j] - hi[i]) < tolerance).all(1)
+        i, j = i[some], j[some]
+        sure = (np.maximum(hi[i], hi[j]) - np.minimum(lo[i], lo[j]) < tolerance).all(1)
+        doubt.append(np.stack([i[~sure], j[~sure]]))
+        ends.append(np.stack([i[sure], j[sure]]))
+    label = _local(*np.concatenate(ends, 1), m)
+    i, j = np.concatenate([np.zeros((2, 0), np.int64), *doubt], 1)
+    keep = (label[i] != label[j]) & own[i]
+    return label, i[keep], j[keep]
+
+
+def _met(cells: np.ndarray, far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of cells whose largest distance in a dimension is ``far`` (1 or 2), each with the lower one (in the order of the cells) first.
+
+    Few cells are all set against each other; many are found by their offsets in the order of their numbers.
     """
     m, d = cells.shape
     x = cells - cells.min(0) + 2
@@ -217,35 +240,18 @@ def join_block(cells: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarra
     step = np.concatenate([np.cumprod(base[::-1])[::-1][1:], [1]])
     code = x @ step
     order = np.argsort(code, kind="stable")
+    if m <= 5**d // 2:
+        y = x[order]
+        i, j = np.nonzero(np.triu((np.abs(y[:, None] - y[None]).max(2) == far), 1))
+        yield order[i], order[j]
+        return
     ordered = code[order]
-    label, doubt = np.arange(m), []
-    # Leaves that touch first: most of the others are then in one component already.
-    offsets = sorted((o for o in itertools.product(range(-2, 3), repeat=d) if o > (0,) * d), key=lambda o: max(map(abs, o)))
-    ends, near = [], True
-    for o in offsets:
-        if near and max(map(abs, o)) == 2:
-            near = False
-            label = _local(*np.concatenate(ends, 1), m)
-            ends = []
-        want = code + np.dot(o, step)
-        at = np.minimum(np.searchsorted(ordered, want), m - 1)
-        i = np.flatnonzero(ordered[at] == want)
-        j = order[at[i]]
-        if not near:
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
-            gap = np.maximum(lo[i] - hi[j], lo[j] - hi[i])
-            some = (gap < tolerance).all(1)
-            i, j = i[some], j[some]
-            sure = (np.maximum(hi[i], hi[j]) - np.minimum(lo[i], lo[j]) < tolerance).all(1)
-            doubt.append(np.stack([i[~sure], j[~sure]]))
-            i, j = i[sure], j[sure]
-        ends.append(np.stack([i, j]))
-    a, b = np.concatenate([np.stack([np.arange(m), label]), *ends], 1)
-    label = _local(a, b, m)
-    i, j = np.concatenate([np.zeros((2, 0), np.int64), *doubt], 1)
-    keep = (label[i] != label[j]) & own[i]
-    return label, i[keep], j[keep]
+    for o in itertools.product(range(-far, far + 1), repeat=d):
+        if o > (0,) * d and max(map(abs, o)) == far:
+            want = code + np.dot(o, step)
+            at = np.minimum(np.searchsorted(ordered, want), m - 1)
+            i = np.flatnonzero(ordered[at] == want)
+            yield i, order[at[i]]
 
 
 def linked_leaves(rows: DataFrame, key: str, dims: list[str], tolerance: float) -> DataFrame:
@@ -278,6 +284,8 @@ def linked_leaves(rows: DataFrame, key: str, dims: list[str], tolerance: float)
         return pd.concat(out, ignore_index=True).astype({"kind": "int32"})
 
     kind = dict(table.dtypes)["leaf"]
+    # Few bytes but much work: partitions by the number of leaves, not by their size.
+    near = near.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, table.count() // 20_000), *block)
     found = staged(near.groupBy(*block).applyInPandas(join, f"kind int, a {kind}, b {kind}"), "joined")
     label = found.filter("kind = 0").select(F.col("a").alias("leaf"), F.col("b").alias("component"))
 
