@@ -5,9 +5,15 @@ Model: a word is the sum of hashed embeddings of its subwords (the word itself a
 subwords, and a linear softmax gives the languages. Embeddings and softmax are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled documents (by default the 120
 of each language that come first by a hash of the id). Labels may be wrong and texts mixed: lines
-whose label is unlikely to a model of other documents are left out first. A tenth of the lines
-is held out; on it the softmax's temperature is fitted and the margin is chosen below which a
-passage is rejected (has no language).
+whose label is unlikely to a model of other documents are left out first.
+
+Calibration: every tenth document is held out of all training, and its labels stay as they are. On
+pieces of their lines, as short as a passage may be, the softmax's temperature is fitted by likelihood, together with the share of labels
+that are wrong (a label is the softmax's with one chance and any language with the other), so that
+confidences are those of the text's language and not of its label. A passage is rejected (has no
+language) if its lead is below the margin: the lead that all but a stated share (``REJECTED``) of the
+rightly labelled pieces reach. The share is smaller than one of the held-out pieces, so it is taken from
+a normal distribution with their median and lower deviation.
 
 As all is linear before the softmax, a word's part in a passage's score is one vector, which a
 worker computes once for each word it meets. A text is cut into lines (at line feeds) and lines into
@@ -20,6 +26,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +48,11 @@ NAMES = {
     "sv": ("sv", "swe", "swedish"),
     "pl": ("pl", "pol", "polish"),
 }
-BUCKETS, DIMENSIONS, STEPS = 2**18, 16, 400
+BUCKETS, DIMENSIONS = 2**18, 16
+#: Steps of the gradient descent (64 lines each); more change nothing on held-out documents (README).
+STEPS = 400
+#: Every so many-th document is held out; the share of its right lines that the margin may reject; what a unit of logits weighs in a segment of 40 subwords.
+HELD, REJECTED, EVIDENCE = 10, 1e-4, 20.0
 #: A bound on the labelled documents the model is fitted on, for each language.
 LABELLED = 120
 #: Longer texts are not trained on (the driver holds the sample).
@@ -90,10 +101,10 @@ def _has_word(part: str) -> bool:
 
 
 class Model:
-    """Trained parts: for each bucket a vector of logits, the bias, the temperature and the margin."""
+    """Trained parts: for each bucket a vector of logits, the bias, the temperature (as a factor), the margin; and what held-out documents say (``held``)."""
 
-    def __init__(self, vectors: np.ndarray, bias: np.ndarray, scale: float, margin: float) -> None:
-        self.vectors, self.bias, self.scale, self.margin = vectors, bias, scale, margin
+    def __init__(self, vectors: np.ndarray, bias: np.ndarray, scale: float, margin: float, held: dict | None = None) -> None:
+        self.vectors, self.bias, self.scale, self.margin, self.held = vectors, bias, scale, margin, held or {}
 
 
 class _Lines:
@@ -170,59 +181,92 @@ def _logits(data: _Lines, rows: np.ndarray, vectors: np.ndarray, bias: np.ndarra
     return _sums(vectors[grams], np.cumsum(n)) / np.maximum(n, 1)[:, None] + bias, n
 
 
-def train(documents: list[tuple[str, str]], seed: int = 0) -> Model:
+def train(documents: list[tuple[str, str]], seed: int = 0, steps: int = STEPS, rejected: float = REJECTED) -> Model:
     """Fit on (text, language) pairs; without any, every passage is rejected."""
-    lines, labels, fold = [], [], []
+    lines, labels, of = [], [], []
     for d, (text, lang) in enumerate(documents):
         for line in text.split("\n"):
             words = line.split()
-            for a in range(0, len(words), 24):  # long lines as pieces, so that lengths are like those of sentences
-                if len(words) - a >= 4:
-                    lines.append(" ".join(words[a : a + 24]))
+            # Long lines as pieces, so that lengths are like those of sentences; held-out ones as the shortest passages that count.
+            most, least = (IN_A_ROW, IN_A_ROW) if d % HELD == HELD - 1 else (24, 4)
+            for a in range(0, len(words), most):
+                if len(words) - a >= least:
+                    lines.append(" ".join(words[a : a + most]))
                     labels.append(LANGUAGES.index(lang))
-                    fold.append(d % FOLDS)
+                    of.append(d)
     if len(set(labels)) < 2:
         return Model(np.zeros((BUCKETS, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32), 1.0, np.inf)
-    data, y, fold = _Lines(lines), np.array(labels), np.array(fold)
+    data, given, of = _Lines(lines), np.array(labels), np.array(of)
+    held = of % HELD == HELD - 1
+    if len(set(given[~held])) < 2:
+        held[:] = False
+    y, own = given.copy(), np.flatnonzero(~held)
     # Documents are mixed or wrongly labelled: a line whose label is unlikely to a model that has not seen its document is left out.
-    keep = np.ones(len(y), bool)
+    keep = ~held
     for f in range(FOLDS):
-        seen, judged = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        seen, judged = own[of[own] % FOLDS != f], own[of[own] % FOLDS == f]
         if len(set(y[seen])) < 2:
             continue
-        embed, weights, bias = _descend(data, y, seen, seed, STEPS // 2)
+        embed, weights, bias = _descend(data, y, seen, seed, steps // 2)
         vectors = embed @ weights
         for some in np.array_split(judged, len(judged) // 2000 + 1):
             z, _ = _logits(data, some, vectors, bias)
             keep[some] = (z[np.arange(len(some)), y[some]] >= z.max(1) - DOUBT) | ~np.isin(y[some], y[seen])
-    held = np.random.default_rng(seed).random(len(lines)) < 0.1
-    rows, test = np.flatnonzero(~held & keep), np.flatnonzero(held & keep)
+    rows = np.flatnonzero(keep)
     if len(set(y[rows])) < 2:
-        rows = np.flatnonzero(~held)
-    embed, weights, bias = _descend(data, y, rows, seed, STEPS)
+        rows = own
+    embed, weights, bias = _descend(data, y, rows, seed, steps)
     vectors = embed @ weights
-    # Once more, with all lines: those of whose language the model is sure have that one, whatever their label.
-    for some in np.array_split(np.arange(len(y)), len(y) // 2000 + 1):
+    # Once more, with all lines but the held-out ones: those of whose language the model is sure have that one, whatever their label.
+    for some in np.array_split(own, len(own) // 2000 + 1):
         z, _ = _logits(data, some, vectors, bias)
         top = np.sort(z, axis=1)
         sure = top[:, -1] - top[:, -2] >= SURE
         keep[some] = sure | (z.argmax(1) == y[some])
         y[some] = np.where(sure, z.argmax(1), y[some])
-    rows, test = np.flatnonzero(~held & keep), np.flatnonzero(held & keep)
-    embed, weights, bias = _descend(data, y, rows, seed, STEPS)
+    embed, weights, bias = _descend(data, y, np.flatnonzero(keep), seed, steps)
     vectors = embed @ weights
-    scale, margin = 4.0, 1.0
+    scale, margin, said = 4.0, 1.0, {}
+    test = np.flatnonzero(held)
     if len(test) > 20:
-        z, _ = _logits(data, test, vectors, bias)
-        best = np.inf
-        for s in np.geomspace(0.5, 20, 24):
-            e = s * z - (s * z).max(1, keepdims=True)
-            loss = -(e[np.arange(len(test)), y[test]] - np.log(np.exp(e).sum(1))).mean()
+        z = np.concatenate([_logits(data, some, vectors, bias)[0] for some in np.array_split(test, len(test) // 2000 + 1)])
+        scale, wrong = temperature(z, given[test])
+        right = z.argmax(1) == given[test]
+        lead = z.max(1) - z.mean(1)
+        if right.any():
+            middle, low = np.quantile(lead[right], [0.5, 0.159])
+            margin = float(max(0.0, middle + NormalDist().inv_cdf(rejected) * (middle - low)))
+        said = reliability(z, given[test], scale, margin) | {"wrong_labels": wrong}
+    return Model(vectors.astype(np.float32), bias.astype(np.float32), scale, margin, said)
+
+
+def temperature(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(factor of the logits, share of random labels) of the largest likelihood of the labels."""
+    best, out, k = np.inf, (1.0, 0.0), z.shape[1]
+    for s in np.geomspace(0.25, 64, 65):
+        e = np.exp(s * (z - z.max(1, keepdims=True)))
+        p = e[np.arange(len(z)), labels] / e.sum(1)
+        for wrong in (0.0, *np.geomspace(0.001, 0.5, 40)):
+            loss = -np.log(np.maximum((1 - wrong) * p + wrong / k, 1e-300)).mean()
             if loss < best:
-                best, scale = loss, float(s)
-        lead = (z.max(1) - z.mean(1))[z.argmax(1) == y[test]]
-        margin = float(0.25 * np.quantile(lead, 0.02)) if len(lead) else 1.0
-    return Model(vectors.astype(np.float32), bias.astype(np.float32), scale, margin)
+                best, out = loss, (float(s), float(wrong))
+    return out
+
+
+def reliability(z: np.ndarray, labels: np.ndarray, scale: float, margin: float, bins: tuple = (0.0, 0.5, 0.9, 0.99, 0.999, 1.0)) -> dict:
+    """Held-out lines by language (lines, recall, precision) and by confidence (lines, mean confidence, share that agrees with the label); rejected ones have no language."""
+    e = np.exp(scale * (z - z.max(1, keepdims=True)))
+    p = e.max(1) / e.sum(1)
+    found = np.where(z.max(1) - z.mean(1) >= margin, z.argmax(1), -1)
+    by = {}
+    for i, lang in enumerate(LANGUAGES):
+        hit, n, got = ((found == i) & (labels == i)).sum(), (labels == i).sum(), (found == i).sum()
+        by[lang] = (int(n), float(hit / max(n, 1)), float(hit / max(got, 1)))
+    table, agree = [], z.argmax(1) == labels
+    for a, b in zip(bins, bins[1:], strict=False):
+        own = (p >= a) & ((p < b) | (b == 1.0))
+        table.append((a, b, int(own.sum()), float(p[own].mean()) if own.any() else 0.0, float(agree[own].mean()) if own.any() else 0.0))
+    return {"languages": by, "bins": table, "rejected": float((found < 0).mean())}
 
 
 class _Words(dict):
@@ -293,8 +337,8 @@ class Detector:
         mean = s["sums"] / grams + self.model.bias
         weight = np.minimum(s["grams"], 150)[:, None] / 40
         # Having no language is one more state: what the best language must reach, and a little for segments without letters.
-        none = np.minimum(self.model.margin, 1e6) * weight * self.model.scale + 1.0
-        evidence = np.concatenate([(mean - mean.mean(1, keepdims=True)) * weight * self.model.scale, none], axis=1)
+        none = np.minimum(self.model.margin, 1e6) * weight * EVIDENCE + 1.0
+        evidence = np.concatenate([(mean - mean.mean(1, keepdims=True)) * weight * EVIDENCE, none], axis=1)
         lang = self.viterbi(s["text"], s["line"], evidence)
         same = np.ones(n, bool)
         same[1:] = (s["text"][1:] == s["text"][:-1]) & (s["line"][1:] == s["line"][:-1]) & (lang[1:] == lang[:-1])
@@ -365,7 +409,7 @@ def training_documents(df: DataFrame, key: str, text: str, lang: str, labelled:
     return some.join(F.broadcast(keys.drop("rn")), ["lang", "h", "k"], "left_semi").select("text", "lang")
 
 
-def detect_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", labelled: int = LABELLED, seed: int = 0) -> DataFrame:
+def detect_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", labelled: int = LABELLED, seed: int = 0, steps: int = STEPS, rejected: float = REJECTED) -> DataFrame:
     """Each line's passages: ``key``, ``para_no`` (from 0, empty lines counted), ``passage_no``, ``language``, ``n_words``, ``confidence``, ``named`` (the label's language or null).
 
     ``language`` is null for passages that are rejected: names, numbers, other scripts, empty lines. An
@@ -375,7 +419,7 @@ def detect_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lan
     """
     ship(df.sparkSession)
     sample = training_documents(df, key, text, lang, labelled).orderBy("lang", "text").collect()
-    model = df.sparkSession.sparkContext.broadcast(train([(r.text, r.lang) for r in sample], seed))
+    model = df.sparkSession.sparkContext.broadcast(train([(r.text, r.lang) for r in sample], seed, steps, rejected))
 
     def run(batches):
         from bandlens.llm.encode import _blocks

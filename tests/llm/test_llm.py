@@ -509,3 +509,21 @@ def test_other_queries_run(spark, data, name):
     from bandlens.llm import queries
 
     assert queries.QUERIES[name](spark, data).count() > 0
+
+
+def test_temperature_is_found_in_spite_of_wrong_labels():
+    rng = np.random.default_rng(0)
+    z = rng.normal(size=(20_000, 8))
+    p = np.exp(3 * z)
+    p /= p.sum(1, keepdims=True)
+    y = (p.cumsum(1) > rng.random((20_000, 1))).argmax(1)
+    y = np.where(rng.random(20_000) < 0.1, rng.integers(0, 8, 20_000), y)
+    scale, wrong = language.temperature(z, y)
+    assert 2.5 < scale < 3.6 and 0.07 < wrong < 0.13
+    r = language.reliability(z, y, scale, 0.0)
+    assert sum(b[2] for b in r["bins"]) == 20_000 and all(abs(b[4] - ((1 - wrong) * b[3] + wrong / 8)) < 0.03 for b in r["bins"] if b[2] > 1000)
+
+
+def test_held_out_documents_keep_their_labels(model):
+    m = model
+    assert set(m.held["languages"]) == set(language.LANGUAGES) and 0 < m.margin < 2 and m.held["rejected"] < 0.02 and 0 < m.held["wrong_labels"] < 0.4
