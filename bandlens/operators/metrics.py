@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bandlens.functions.guards import INF, argmax, finite
 from bandlens.plans.ordered import cumulated
-from bandlens.plans.stages import staged
+from bandlens.plans.stages import small, staged
 
 CLIP = 1e-9
 BINS, BIN_FLOOR = 50, 1e-10
@@ -48,7 +48,7 @@ def rmse(y: Column, p: Column, w: Column | None = None) -> Column:
 
 def r_squared(y: Column, p: Column) -> Column:
     """1 - residual by total sum of squares; 0 where y is constant and missed, 1 where it is met."""
-    rest, total = F.sum((y - p) * (y - p)), F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
+    rest, total = F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y)
     return F.when(total > 0, 1 - F.try_divide(rest, total)).otherwise(F.when(rest == 0, 1.0).otherwise(0.0))
 
 
@@ -106,8 +106,11 @@ def accuracy(y: Column, p: Column, w: Column | None = None, multi: bool = False)
 
 
 def pearson(y: Column, p: Column, w: Column | None = None) -> Column:
-    """Weighted absolute correlation from moments; 0 where a side is constant or the result isn't finite."""
-    w = F.lit(1.0) if w is None else w
+    """Weighted absolute correlation from moments (centred ones without weights); 0 where a side is constant or the result isn't finite."""
+    if w is None:
+        flat = (F.min(p) == F.max(p)) | (F.min(y) == F.max(y))
+        r = F.abs(F.try_divide(F.covar_pop(p, y), F.sqrt(F.var_pop(p) * F.var_pop(y))))
+        return F.when(F.coalesce(~flat, F.lit(False)) & finite(r), r).otherwise(0.0)
     n = F.sum(w)
     mp, my = F.try_divide(F.sum(w * p), n), F.try_divide(F.sum(w * y), n)
     cov = F.try_divide(F.sum(w * p * y), n) - mp * my
@@ -129,17 +132,21 @@ def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = No
 
 
 def spearman(df: DataFrame, y: str, p: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """The absolute correlation of average ranks: ``by``, ``spearman``."""
+    """The absolute correlation of average ranks: ``by``, ``spearman``. Equal pairs are one row before anything is ranked."""
     by = by or []
-    ranked = average_ranks(average_ranks(df.select(*by, y, p, *([weight] if weight else [])), y, "_ry", by), p, "_rp", by)
-    return ranked.groupBy(*by).agg(pearson(F.col("_ry"), F.col("_rp"), F.col(weight) if weight else None).alias("spearman"))
+    pairs = df.groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("_c"), (F.sum(weight) if weight else F.count(F.lit(1))).cast("double").alias("_w"))
+    pairs = staged(pairs, "pairs")
+    for c in (y, p):
+        ranks = cumulated(pairs.groupBy(*by, c).agg(F.sum("_c").alias("_n")), c, ["_n"], by).select(*by, c, (F.col("before__n") + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
+        pairs = pairs.join(ranks, [*by, c])
+    return pairs.groupBy(*by).agg(pearson(F.col(f"_r_{y}"), F.col(f"_r_{p}"), F.col("_w")).alias("spearman"))
 
 
 def scaled(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     """``by``, ``y`` (double), ``z``: the prediction scaled to [0, 1] by its range (a constant one gives 0), ``flat``."""
     ends = df.groupBy(*by).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"))
     d = df.select(*by, F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("_p"))
-    d = d.join(F.broadcast(ends), by) if by else d.crossJoin(F.broadcast(ends))  # one row for each group
+    d = d.join(small(ends), by) if by else d.crossJoin(F.broadcast(ends))  # one row
     return d.select(*by, "y", F.coalesce(F.try_divide(F.col("_p") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)).alias("z"), (F.col("_lo") == F.col("_hi")).alias("flat"))
 
 
@@ -154,10 +161,15 @@ def class_moments(d: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def auc_direction(d: DataFrame, by: list[str]) -> DataFrame:
+def class_counts(d: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, each value ``z`` once with the numbers of both classes (``_c0``, ``_c1``), those below it (``before_...``) and the ``next_value``."""
+    values = d.groupBy(*by, "z").agg(*[F.sum(F.when(F.col("y") == k, 1).otherwise(0)).alias(f"_c{k}") for k in (0, 1)])
+    return cumulated(values, "z", ["_c0", "_c1"], by, following=True)
+
+
+def auc_direction(d: DataFrame, by: list[str], counts: DataFrame | None = None) -> DataFrame:
     """``by``, ``s_dir``: 2 (AUC - 1/2) from tie-averaged ranks; 1 where a class is empty."""
-    values = d.groupBy(*by, "z").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("_c1"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("_c0"))
-    cum = cumulated(values, "z", ["_c0"], by)
+    cum = class_counts(d, by) if counts is None else counts
     sums = cum.groupBy(*by).agg(F.sum(F.col("_c1") * (F.col("before__c0") + F.col("_c0") / 2)).alias("_u"), F.sum("_c1").alias("_n1"), F.sum("_c0").alias("_n0"))
     auc = F.try_divide(F.col("_u"), F.col("_n1") * F.col("_n0"))
     return sums.select(*by, F.when((F.col("_n1") == 0) | (F.col("_n0") == 0), 1.0).otherwise(2 * (auc - 0.5)).alias("s_dir"))
@@ -174,28 +186,12 @@ def _js(d: DataFrame, by: list[str]) -> DataFrame:
     return q.groupBy(*by).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(term("_p0") + term("_p1")) / 2)).alias("js"))
 
 
-def _emd(d: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, ``emd``: the area between the two classes' distribution functions."""
-    values = d.groupBy(*by, "z").agg(*[F.sum(F.when(F.col("y") == k, 1).otherwise(0)).alias(f"_c{k}") for k in (0, 1)])
-    totals = values.groupBy(*by).agg(F.sum("_c0").alias("_n0"), F.sum("_c1").alias("_n1"))
-    cum = cumulated(values, "z", ["_c0", "_c1"], by)
-    cum = cum.join(F.broadcast(totals), by) if by else cum.crossJoin(F.broadcast(totals))  # one row for each group
-    # The integral of the CDFs' difference: each value holds the level reached until the next one. By
-    # parts over the values alone: sum of (level before the value - level after it) x value would lose
-    # the absolute value, so the next value is needed; it comes from the range-partitioned order.
-    nxt = _next_value(cum, by)
+def _emd(cum: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, ``emd``: the area between the two classes' distribution functions; each value holds the level reached until the next one."""
+    totals = cum.groupBy(*by).agg(F.sum("_c0").alias("_n0"), F.sum("_c1").alias("_n1"))
+    cum = cum.join(small(totals), by) if by else cum.crossJoin(F.broadcast(totals))  # one row
     gap = F.abs(F.try_divide(F.col("before__c0") + F.col("_c0"), F.col("_n0")) - F.try_divide(F.col("before__c1") + F.col("_c1"), F.col("_n1")))
-    return nxt.groupBy(*by).agg(F.coalesce(F.sum(gap * (F.col("_next") - F.col("z"))), F.lit(0.0)).alias("emd"))
-
-
-def _next_value(df: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` with ``_next``: the next larger z, across partitions; rows without one are dropped."""
-    placed = staged(df.repartitionByRange(*by, "z").withColumn("_part", F.spark_partition_id()), "ranged")
-    firsts = placed.groupBy(*by, "_part").agg(F.min("z").alias("_first"))
-    later = Window.partitionBy(*by).orderBy("_part")
-    firsts = firsts.withColumn("_first", F.lead("_first").over(later))
-    inside = Window.partitionBy(*by, "_part").orderBy("z")
-    return placed.withColumn("_in", F.lead("z").over(inside)).join(firsts, [*by, "_part"]).withColumn("_next", F.coalesce("_in", "_first")).filter(F.col("_next").isNotNull()).drop("_in", "_first", "_part")
+    return cum.groupBy(*by).agg(F.coalesce(F.sum(gap * (F.col("next_value") - F.col("z"))), F.lit(0.0)).alias("emd"))
 
 
 TWO_CLASS = ("bhattacharyya", "hellinger", "js_divergence", "wasserstein", "fisher", "f_statistic", "compactness", "separability", "eta_separability")
@@ -213,14 +209,15 @@ def two_class(df: DataFrame, y: str, p: str, names: list[str], by: list[str] | N
     m = class_moments(d, by)
 
     def attach(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(F.broadcast(right), by, "left") if by else left.crossJoin(F.broadcast(right))  # one row for each group
+        return left.join(small(right), by, "left") if by else left.crossJoin(F.broadcast(right))  # one row
 
     if set(names) - {"eta_separability"}:
-        m = attach(m, auc_direction(d, by))
+        counts = staged(class_counts(d, by), "class-counts")
+        m = attach(m, auc_direction(d, by, counts))
     if "js_divergence" in names:
         m = attach(m, _js(d, by))
     if "wasserstein" in names:
-        m = attach(m, _emd(d, by))
+        m = attach(m, _emd(counts, by))
     c = F.col
     usable = (c("other") == 0) & (c("n0") > 0) & (c("n1") > 0) & (c("flat") == 0)
     two = (c("m0") - c("m1")) * (c("m0") - c("m1"))
@@ -255,9 +252,11 @@ def two_class(df: DataFrame, y: str, p: str, names: list[str], by: list[str] | N
 def davies_bouldin(df: DataFrame, y: str, p: str) -> DataFrame:
     """``davies_bouldin`` of the scaled prediction by class: mean over classes of the worst (s_i + s_j) / |c_i - c_j|."""
     d = scaled(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), y, p, [])
-    centres = d.groupBy("y").agg(F.avg("z").alias("c"))  # one row for each class
-    scatter = d.join(F.broadcast(centres), "y").groupBy("y").agg(F.avg(F.abs(F.col("z") - F.col("c"))).alias("s"), F.first("c").alias("c"))
+    centres = d.groupBy("y").agg(F.avg("z").alias("c"))
+    scatter = d.join(small(centres), "y").groupBy("y").agg(F.avg(F.abs(F.col("z") - F.col("c"))).alias("s"), F.first("c").alias("c"))
     a, b = scatter.toDF("ya", "sa", "ca"), scatter.toDF("yb", "sb", "cb")
+    if scatter.limit(10_001).count() > 10_000:
+        raise ValueError("davies_bouldin compares all classes with each other: at most 10000")
     pairs = a.join(F.broadcast(b), F.col("ya") != F.col("yb"))  # classes by classes
     worst = pairs.groupBy("ya").agg(F.max(F.coalesce(F.try_divide(F.col("sa") + F.col("sb"), F.abs(F.col("ca") - F.col("cb"))), F.lit(0.0))).alias("r"))
     return worst.agg(F.avg("r").alias("davies_bouldin"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bandlens.functions.guards import finite
 from bandlens.plans.ordered import cumulated
-from bandlens.plans.stages import staged
+from bandlens.plans.stages import small, staged
 
 
 def labelled(df: DataFrame, label: str) -> DataFrame:
@@ -19,13 +19,13 @@ def labelled(df: DataFrame, label: str) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, label: str, out: str) -> tuple[DataFrame, DataFrame]:
-    """(df with ``out``, the class's place among the sorted labels, null for none; the classes as ``label``, ``out``)."""
-    found = df.filter(F.col(label).isNotNull()).select(label).distinct().limit(10_001).collect()
-    if len(found) > 10_000:
-        raise ValueError("more than 10000 classes")
-    classes = sorted(r[label] for r in found)
-    table = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(classes)], f"`{label}` {dict(df.dtypes)[label]}, `{out}` int")
-    return df.join(F.broadcast(table), label, "left"), table
+    """(df with ``out``, the class's place among the sorted labels, null for none; the classes as ``label``, ``out``).
+
+    Places come from range partitions of the different labels, however many.
+    """
+    classes = df.filter(F.col(label).isNotNull()).select(label).distinct().withColumn("_one", F.lit(1))
+    table = staged(cumulated(classes, label, ["_one"]).select(label, F.col("before__one").cast("int").alias(out)), "classes")
+    return df.join(small(table), label, "left"), table
 
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -61,17 +61,28 @@ def zscore(df: DataFrame, columns: list[str], train: Column | None = None, least
 # ---- splits ------------------------------------------------------------------------------------
 
 
-def quotas(counts: list[tuple], train_size: float, mode: str) -> dict:
-    """Training rows of each class: 'class' gives each ``train_size`` (at most 1: a share of the class); 'proportional' shares a total by floors and largest remainders."""
+def quotas(counts: DataFrame, train_size: float, mode: str) -> DataFrame:
+    """``counts`` (``_g``, ``_n``) with ``_quota``, the training rows of each class: 'class' gives each ``train_size`` (at most 1: a share of the class); 'proportional' shares a total by floors and largest remainders."""
     if mode == "class":
-        return {c: int(n * train_size) if train_size <= 1 else int(train_size) for c, n in counts}
-    total = sum(n for _, n in counts)
+        return counts.withColumn("_quota", F.floor(F.col("_n") * F.lit(float(train_size))).cast("long") if train_size <= 1 else F.lit(int(train_size)).cast("long"))
+    counts = staged(counts, "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     want = int(total * train_size) if train_size <= 1 else int(train_size)
-    exact = {c: want * n / total for c, n in counts} if total else {}
-    out = {c: int(x) for c, x in exact.items()}
-    for c in sorted(exact, key=lambda c: (-(exact[c] - out[c]), str(c)))[: want - sum(out.values())]:
-        out[c] += 1
-    return out
+    exact = F.lit(want) * F.col("_n") / F.lit(float(max(total, 1)))
+    counts = counts.withColumn("_base", F.floor(exact).cast("long")).withColumn("_order", F.struct((F.col("_base") - exact).alias("rest"), F.col("_g").cast("string").alias("g"))).withColumn("_one", F.lit(1))
+    missing = want - (counts.agg(F.sum("_base")).first()[0] or 0)
+    placed = cumulated(counts, "_order", ["_one"])
+    return placed.select("_g", "_n", (F.col("_base") + F.when(F.col("before__one") < missing, 1).otherwise(0)).alias("_quota"))
+
+
+def ranked(d: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """``d`` with ``_rank`` (from 1) in a shuffle of each group ``_g`` by a hash of ``key``; equal hashes are ranked by it.
+
+    Ranks come from range-partitioned offsets: no task sorts a group.
+    """
+    d = staged(d.withColumn("_h", F.xxhash64(*key, F.lit(seed))), "split")
+    place = cumulated(d.groupBy("_g", "_h").agg(F.count(F.lit(1)).alias("_same")), "_h", ["_same"], ["_g"]).select("_g", "_h", "before__same")
+    return d.join(place, ["_g", "_h"]).withColumn("_rank", F.col("before__same") + F.row_number().over(Window.partitionBy("_g", "_h").orderBy(*key))).drop("before__same", "_h")
 
 
 def split(df: DataFrame, key: str, label: str, train_size: float, mode: str = "class", seed: int = 0, insufficient: str = "error", min_test: int = 0) -> DataFrame:
@@ -87,25 +98,15 @@ def split(df: DataFrame, key: str, label: str, train_size: float, mode: str = "c
         raise ValueError(f"unknown split mode {mode!r}")
     d = labelled(df, label)
     group = F.lit(0) if mode == "random" else F.col(label)
-    counts = [(r["g"], r["n"]) for r in d.filter(F.col(label).isNotNull()).groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).limit(10_001).collect()]
-    want = quotas(sorted(counts, key=lambda x: str(x[0])), train_size, "proportional" if mode == "random" else mode)
-    short = [c for c, n in counts if want[c] > n]
-    if short and insufficient != "both":
-        raise ValueError(f"classes with too few rows: {sorted(map(str, short))}")
-    size = dict(counts)
-    # Ranks in the shuffle by range-partitioned offsets: no task sorts a class, and equal hashes are ranked by the key.
-    d = staged(d.withColumn("_g", group).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), "split")
-    has = d.filter(F.col(label).isNotNull())
-    place = cumulated(has.groupBy("_g", "_h").agg(F.count(F.lit(1)).alias("_n")), "_h", ["_n"], ["_g"]).select("_g", "_h", "before__n")
-    ranked = has.join(place, ["_g", "_h"]).withColumn("_rank", F.col("before__n") + F.row_number().over(Window.partitionBy("_g", "_h").orderBy(key)))
-    rest = d.filter(F.col(label).isNull()).withColumn("_rank", F.lit(None).cast("long"))
-    d = ranked.drop("before__n").unionByName(rest)
-    quota, number = (F.coalesce(*[F.when(F.col("_g") == F.lit(c), F.lit(x)) for c, x in m.items()], F.lit(0)) if m else F.lit(0) for m in (want, {c: size[c] for c in want}))
-    both = F.array(F.lit("train"), F.lit("test"))
-    one = lambda s: F.array(F.lit(s))
-    again = F.lit(min_test) - F.greatest(number - quota, F.lit(0))
-    parts = F.when(F.col("_rank").isNull(), F.array(F.lit(None).cast("string"))).when(quota > number, both).when(F.col("_rank") > quota, one("test")).when(F.col("_rank") <= again, both).otherwise(one("train"))
-    return d.withColumn("split", F.explode_outer(parts)).drop("_rank", "_g", "_h")
+    has = d.filter(F.col(label).isNotNull()).withColumn("_g", group)
+    per = staged(quotas(has.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), train_size, "proportional" if mode == "random" else mode), "quotas")
+    if insufficient != "both" and (short := per.filter("_quota > _n").limit(5).collect()):
+        raise ValueError(f"classes with too few rows: {sorted(str(r['_g']) for r in short)}")
+    d = ranked(has, [key], seed).join(small(per), "_g").unionByName(d.filter(F.col(label).isNull()), allowMissingColumns=True)
+    both, one = F.array(F.lit("train"), F.lit("test")), lambda s: F.array(F.lit(s))
+    again = F.lit(min_test) - F.greatest(F.col("_n") - F.col("_quota"), F.lit(0))
+    parts = F.when(F.col("_rank").isNull(), F.array(F.lit(None).cast("string"))).when(F.col("_quota") > F.col("_n"), both).when(F.col("_rank") > F.col("_quota"), one("test")).when(F.col("_rank") <= again, both).otherwise(one("train"))
+    return d.withColumn("split", F.explode_outer(parts)).drop("_rank", "_g", "_n", "_quota")
 
 
 def blocks(pixels: DataFrame, label: str, size: int, row: str = "row", col: str = "col") -> DataFrame:
@@ -114,32 +115,25 @@ def blocks(pixels: DataFrame, label: str, size: int, row: str = "row", col: str
     return d.groupBy(F.floor(F.col(row) / size).cast("int").alias("block_row"), F.floor(F.col(col) / size).cast("int").alias("block_col"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def choose_blocks(counts: list[tuple[int, int, object, int]], share: float, neighbour_penalty: float, rng: np.random.Generator) -> set[tuple[int, int]]:
-    """Greedy choice of test blocks until each class has ``share`` of its pixels in them.
+def choose_blocks(by: dict[tuple[int, int], dict], quota: dict, penalty: float, rng: np.random.Generator) -> set[tuple[int, int]]:
+    """Greedy choice of training blocks until each class has its quota in them.
 
-    A block's gain is what it adds to the classes still short, each by its need; it is divided by 1 +
-    penalty x chosen neighbours, and ties are broken at random. The table has one row for each block
-    and class, far smaller than the pixels.
+    A block's gain is what it adds to the classes still short, divided by 1 + penalty x chosen
+    neighbours; ties are broken at random. ``by``: pixels of each class in each block.
     """
-    total: dict = {}
-    by: dict[tuple[int, int], dict] = {}
-    for r, c, k, n in counts:
-        total[k] = total.get(k, 0) + n
-        by.setdefault((r, c), {})[k] = n
-    need = {k: share * n for k, n in total.items()}
-    got = dict.fromkeys(total, 0.0)
-    chosen: set[tuple[int, int]] = set()
-    while any(got[k] < need[k] for k in need) and len(chosen) < len(by):
+    got, chosen = dict.fromkeys(quota, 0), set()
+    while any(got[k] < quota[k] for k in quota):
         best, options = 0.0, []
         for b, ks in by.items():
             if b in chosen:
                 continue
-            gain = sum(min(n, need[k] - got[k]) / need[k] for k, n in ks.items() if need[k] > got[k])
-            near = sum((b[0] + i, b[1] + j) in chosen for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
-            gain /= 1 + neighbour_penalty * near
+            gain = sum(min(n, max(quota[k] - got[k], 0)) for k, n in ks.items())
+            if gain <= 0:
+                continue
+            gain /= 1 + penalty * sum((b[0] + i, b[1] + j) in chosen for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
             if gain > best + 1e-12:
                 best, options = gain, [b]
-            elif options and abs(gain - best) <= 1e-12:
+            elif abs(gain - best) <= 1e-12:
                 options.append(b)
         if not options:
             break
@@ -150,35 +144,79 @@ def choose_blocks(counts: list[tuple[int, int, object, int]], share: float, neig
     return chosen
 
 
-def spatial_split(pixels: DataFrame, label: str, size: int, share: float = 0.3, buffer: int = 0, neighbour_penalty: float = 1.0, seed: int = 0, attempts: int = 100, row: str = "row", col: str = "col") -> DataFrame:
-    """``pixels`` with ``split``: 'test' in the chosen blocks, 'buffer' within ``buffer`` pixels of them, else 'train'; null without a label.
+def spatial_split(pixels: DataFrame, label: str, train_size: int, per_class: bool = True, size: int = 10, buffer: int = 3, neighbour_penalty: float = 0.0, seed: int = 0, insufficient: bool = False, min_test: int = 0, attempts: int = 100, row: str = "row", col: str = "col") -> DataFrame:
+    """``pixels`` with ``split``: 'train', 'test' or null, the two sides farther apart than ``buffer`` pixels.
 
-    Tries seeds one after another until every class has pixels on both sides (ValueError after
-    ``attempts``). Distances are the larger of row and column distance, so the buffer is made of ranges
-    around blocks and found by an equi-join on the neighbouring blocks.
+    Whole blocks of ``size`` x ``size`` pixels are chosen until they hold each class's quota (``train_size``, or its
+    part of that number by floors and largest remainders); exactly the quota is drawn from them. Test
+    pixels are all labelled ones outside the chosen blocks and farther than ``buffer`` from them (the
+    larger of row and column distance). Seeds are tried until every class has its quota and a test
+    pixel (ValueError after ``attempts``). ``insufficient``: a class with too few pixels gives all that
+    the chosen blocks have of it, and may have no test pixel. ``min_test``: so many test pixels of each
+    class at least; missing ones come from its pixels in the chosen blocks, undrawn ones first (drawn
+    ones are then repeated rows, in both splits).
+
+    All attempts are judged on a table of the blocks' pixels by class and by how far the chosen blocks
+    may be in each direction, which the driver holds (at most a million rows, else ValueError).
     """
-    if buffer > size:
-        raise ValueError("the buffer must not exceed the block size")
-    counts = blocks(pixels, label, size, row, col)
-    table = [(r["block_row"], r["block_col"], r["label"], r["n"]) for r in counts.orderBy("block_row", "block_col", "label").limit(1_000_001).collect()]
+    d = labelled(pixels, label)
+    far = lambda p: F.greatest(F.floor((F.lit(buffer) - p - 1) / size) + 1, F.lit(0)).cast("int")
+    d = d.withColumns({"_br": F.floor(F.col(row) / size).cast("int"), "_bc": F.floor(F.col(col) / size).cast("int")})
+    r, c = F.col(row) - F.col("_br") * size, F.col(col) - F.col("_bc") * size
+    # So many blocks above, below, to the left and to the right are within the buffer of a pixel.
+    zone = ["_up", "_down", "_left", "_right"]
+    d = d.withColumns({"_up": far(r), "_down": far(size - 1 - r), "_left": far(c), "_right": far(size - 1 - c)})
+    d = staged(d.withColumn("_g", F.col(label)), "pixels")
+    counts = d.filter(F.col(label).isNotNull()).groupBy("_br", "_bc", *zone, F.col(label).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    table = [tuple(x) for x in counts.orderBy("_br", "_bc", *zone, "k").limit(1_000_001).collect()]
     if len(table) > 1_000_000:
         raise ValueError("more than a million blocks and classes: choose larger blocks")
-    d = labelled(pixels, label)
-    spark = pixels.sparkSession
+    by: dict[tuple[int, int], dict] = {}
+    total: dict = {}
+    for x in table:
+        at, k, n = x[:2], x[6], x[7]
+        by.setdefault(at, {})[k] = by.get(at, {}).get(k, 0) + n
+        total[k] = total.get(k, 0) + n
+    if per_class:
+        quota = dict.fromkeys(total, int(train_size))
+    else:
+        exact = {k: train_size * n / sum(total.values()) for k, n in total.items()}
+        quota = {k: int(x) for k, x in exact.items()}
+        for k in sorted(exact, key=lambda k: (quota[k] - exact[k], str(k)))[: int(train_size) - sum(quota.values())]:
+            quota[k] += 1
+    short = sorted(str(k) for k, n in total.items() if n < 2 or (n <= quota[k] and not insufficient))
+    if short or not total:
+        raise ValueError(f"classes with too few pixels for training and test: {short}")
+    target = {k: min(q, total[k] - 1) if insufficient else q for k, q in quota.items()}
     for attempt in range(attempts):
-        chosen = choose_blocks(table, share, neighbour_penalty, np.random.default_rng(seed + attempt))
-        test = spark.createDataFrame([(a, b, 1) for a, b in sorted(chosen)], "_br int, _bc int, _test int")
-        near = spark.createDataFrame(sorted({(a + i, b + j, a, b) for a, b in chosen for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (a + i, b + j) not in chosen}) or [], "_br int, _bc int, _ar int, _ac int")
-        x = d.withColumn("_br", F.floor(F.col(row) / size).cast("int")).withColumn("_bc", F.floor(F.col(col) / size).cast("int"))
-        gap = lambda p, b: F.greatest(F.col(b) * size - F.col(p), F.col(p) - (F.col(b) * size + size - 1), F.lit(0))
-        close = x.select(row, col, "_br", "_bc").join(near, ["_br", "_bc"]).filter(F.greatest(gap(row, "_ar"), gap(col, "_ac")) <= buffer).select(row, col, F.lit(1).alias("_near")).distinct() if buffer else None
-        x = x.join(test, ["_br", "_bc"], "left")
-        x = x.join(close, [row, col], "left") if close is not None else x.withColumn("_near", F.lit(None).cast("int"))
-        out = x.withColumn("split", F.when(F.col(label).isNotNull(), F.when(F.col("_test") == 1, "test").when(F.col("_near") == 1, "buffer").otherwise("train"))).drop("_br", "_bc", "_test", "_near")
-        sides = {(r["label"], r["split"]) for r in out.filter("split is not null").groupBy(F.col(label).alias("label"), "split").count().collect()}
-        if all((k, s) in sides for k in {t[2] for t in table} for s in ("train", "test")):
-            return out
-    raise ValueError(f"no split with every class on both sides in {attempts} attempts")
+        chosen = choose_blocks(by, target, neighbour_penalty, np.random.default_rng(seed + attempt))
+        inside, test, state = dict.fromkeys(total, 0), dict.fromkeys(total, 0), {}
+        for x in table:
+            (br, bc, up, down, left, right), k, n = x[:6], x[6], x[7]
+            if (br, bc) in chosen:
+                state[x[:6]] = 0
+                inside[k] += n
+            elif any((i, j) in chosen for i in range(br - up, br + down + 1) for j in range(bc - left, bc + right + 1)):
+                state[x[:6]] = 1
+            else:
+                state[x[:6]] = 2
+                test[k] += n
+        enough = insufficient or all(inside[k] >= quota[k] for k in quota)
+        if chosen and enough and (insufficient or all(test[k] + min(max(min_test - test[k], 0), inside[k]) > 0 for k in total)):
+            break
+    else:
+        raise ValueError(f"no split with every class on both sides in {attempts} attempts")
+    spark = pixels.sparkSession
+    states = spark.createDataFrame([(*k, v) for k, v in state.items()], ", ".join(f"{c} int" for c in ["_br", "_bc", *zone]) + ", _state int")
+    kind = dict(d.dtypes)[label]
+    plan = spark.createDataFrame([(k, quota[k], inside[k], max(min_test - test[k], 0)) for k in total], f"_g {kind}, _quota long, _inside long, _more long")
+    d = d.join(small(states), ["_br", "_bc", *zone], "left").withColumn("_state", F.when(F.col(label).isNotNull(), F.col("_state")))
+    drawn = ranked(d.filter("_state = 0"), [row, col], seed).join(small(plan), "_g")
+    train, again = F.col("_rank") <= F.col("_quota"), F.col("_rank") > F.col("_inside") - F.col("_more")
+    parts = F.when(train & again, F.array(F.lit("train"), F.lit("test"))).when(train, F.array(F.lit("train"))).when(again, F.array(F.lit("test"))).otherwise(F.array(F.lit(None).cast("string")))
+    rest = d.filter("_state is null or _state <> 0").withColumn("split", F.when(F.col("_state") == 2, "test"))
+    drop = ["_br", "_bc", *zone, "_state", "_g"]
+    return drawn.withColumn("split", F.explode(parts)).drop(*drop, "_rank", "_quota", "_inside", "_more").unionByName(rest.drop(*drop))
 
 
 # ---- thresholds ----------------------------------------------------------------------------------
@@ -233,12 +271,9 @@ def mini_batches(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame
 
 def rectangles(height: int, width: int, tall: int, wide: int, seed: int = 0, share: float = 0.15, least: int = 20, most: int = 100) -> list[tuple[int, int, int, int]]:
     """A pool of random rectangles (r0, c0, r1, c1; the ends excluded): 15 % of all positions, between 20 and 100; all if there are no more than 20."""
-    places = [(r, c) for r in range(max(1, height - tall + 1)) for c in range(max(1, width - wide + 1))] if height * width <= 1_000_000 else None
-    rng = np.random.default_rng(seed)
-    n = max(1, height - tall + 1) * max(1, width - wide + 1)
+    n, across = max(1, height - tall + 1) * max(1, width - wide + 1), max(1, width - wide + 1)
     k = n if n <= least else int(min(most, max(least, share * n)))
-    at = rng.choice(n, k, replace=False) if places is not None else rng.integers(n, size=k)
-    across = max(1, width - wide + 1)
+    at = np.random.default_rng(seed).choice(n, k, replace=False)
     return [(int(i) // across, int(i) % across, min(height, int(i) // across + tall), min(width, int(i) % across + wide)) for i in at]
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bandlens.functions.guards import finite
-from bandlens.plans.ordered import cumulated
+from bandlens.plans.ordered import cumulated, quantile
 from bandlens.plans.stages import staged
+from bandlens.sources.tables import latest_by
 
 #: The fields of a log record, in order (fixed values).
 FIELDS = T.StructType([
@@ -45,9 +46,10 @@ def _rate() -> Column:
 
 
 def normalised(log: DataFrame, entry: list[str] | None = None) -> DataFrame:
-    """Names trimmed, in lower case and with underscores; with ``entry``, one row for each entry (by its latest ingested_at, then log_id)."""
-    d = log.withColumn("operation_name", F.regexp_replace(F.lower(F.trim("operation_name")), "[ -]", "_"))
-    return d if entry is None else d.dropDuplicates(entry)
+    """Names trimmed, in lower case and with underscores; with ``entry``, one row for each entry: its delivery with the latest ingested_at, then log_id."""
+    if entry is not None:
+        log = latest_by(log, entry, "ingested_at", "log_id", [c for c in log.columns if c not in entry])
+    return log.withColumn("operation_name", F.regexp_replace(F.lower(F.trim("operation_name")), "[ -]", "_"))
 
 
 def merge(*logs: DataFrame) -> DataFrame:
@@ -117,33 +119,33 @@ def order_by_operation(log: DataFrame) -> DataFrame:
 def order_bins(log: DataFrame) -> DataFrame:
     """Accepted operations by the order's change (bins closed on the right at -1, 0, 1): moments of both deltas."""
     o = F.col("order_delta")
+    # Names of the bins: fixed values.
     name = F.when(o <= -1, "decrease").when(o <= 0, "no_change_neg").when(o <= 1, "no_change_pos").otherwise("increase")
     return log.filter(o.isNotNull() & _yes()).groupBy(name.alias("bin")).agg(F.count(F.lit(1)).alias("n"), *[f(_v(c)).alias(f"{n}_{c}") for c in ("complexity_delta", "fitness_delta") for n, f in (("avg", F.avg), ("std", F.stddev_samp))])
 
 
-def trends(log: DataFrame, size: int = 100, by: str = "run_id") -> DataFrame:
-    """Trailing means over ``size`` operations in the order of their timestamps, within ``by`` (full windows without missing values only)."""
-    w = Window.partitionBy(by).orderBy("timestamp", "log_id")
-    last = w.rowsBetween(1 - size, 0)
-    columns = {"acceptance_rate": F.col("accepted").cast("double"), "avg_fitness_delta": _v("fitness_delta"), "avg_complexity_delta": _v("complexity_delta")}
-    d = log.select(by, "log_id", "generation", "timestamp", *[c.alias(f"_{n}") for n, c in columns.items()])
-    d = d.withColumns({n: F.when(F.count(f"_{n}").over(last) == size, F.avg(f"_{n}").over(last)) for n in columns})
-    return d.filter(" and ".join(f"{n} is not null" for n in columns)).drop(*[f"_{n}" for n in columns])
+def trends(log: DataFrame, size: int = 100, by: str | None = "run_id", order: str = "place") -> DataFrame:
+    """Trailing means over ``size`` operations in the order of their timestamps (then log_id), within ``by`` or over the whole log (full windows without missing values only).
 
-
-def global_trends(log: DataFrame, size: int = 100, order: str = "place") -> DataFrame:
-    """The same over the whole log: operations are numbered by range-partitioned offsets and put into blocks of ``size``; a window reads its own block and the one before."""
-    d = staged(log.select("log_id", "timestamp", F.col("accepted").cast("double").alias("a"), _v("fitness_delta").alias("f"), _v("complexity_delta").alias("c")), "trends")
-    times = d.groupBy("timestamp").agg(F.count(F.lit(1)).alias("n"))
-    first = cumulated(times, "timestamp", ["n"]).select("timestamp", "before_n")
-    place = F.col("before_n") + F.row_number().over(Window.partitionBy("timestamp").orderBy("log_id"))
-    d = d.join(first, "timestamp").withColumn(order, place).drop("before_n")
-    d = d.withColumn("_block", F.explode(F.array(F.floor((F.col(order) - 1) / size), F.floor((F.col(order) - 1) / size) + 1)))
-    last = Window.partitionBy("_block").orderBy(order).rowsBetween(1 - size, 0)
+    Operations are numbered by range-partitioned offsets and put into blocks of ``size``; a window reads
+    its own block and the one before, so no task holds a run. Operations without a timestamp have no
+    place and are left out.
+    """
+    keys = [by] if by else []
+    d = log.filter(F.col("timestamp").isNotNull()).select(*keys, "log_id", "generation", "timestamp", F.col("accepted").cast("double").alias("a"), _v("fitness_delta").alias("f"), _v("complexity_delta").alias("c"))
+    d = staged(d.withColumn("_at", F.struct("timestamp", "log_id")).withColumn("_one", F.lit(1)), "trends")
+    d = cumulated(d, "_at", ["_one"], keys).withColumn(order, (F.col("before__one") + 1).cast("long")).drop("before__one", "_one", "_at")
+    own = F.floor((F.col(order) - 1) / size)
+    d = d.withColumn("_own", own).withColumn("_block", F.explode(F.array(own, own + 1)))
+    last = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(1 - size, 0)
     names = {"acceptance_rate": "a", "avg_fitness_delta": "f", "avg_complexity_delta": "c"}
     d = d.withColumns({n: F.when(F.count(c).over(last) == size, F.avg(c).over(last)) for n, c in names.items()})
-    own = F.floor((F.col(order) - 1) / size) == F.col("_block")
-    return d.filter(own).filter(" and ".join(f"{n} is not null" for n in names)).select(order, "log_id", "timestamp", *names)
+    return d.filter(F.col("_own") == F.col("_block")).filter(" and ".join(f"{n} is not null" for n in names)).select(*keys, order, "log_id", "generation", "timestamp", *names)
+
+
+def global_trends(log: DataFrame, size: int = 100, order: str = "place") -> DataFrame:
+    """The same over the whole log."""
+    return trends(log, size, None, order)
 
 
 def improvements(log: DataFrame, percentile: float = 75.0, least: float | None = None) -> DataFrame:
@@ -154,7 +156,8 @@ def improvements(log: DataFrame, percentile: float = 75.0, least: float | None =
     acc = log.filter(_yes() & _v("fitness_delta").isNotNull())
     f = F.col("fitness_delta")
     if least is None:
-        p = acc.agg(F.expr(f"percentile(case when fitness_delta > 0 then fitness_delta end, {percentile / 100})").alias("p"), F.max(f).alias("m"))
+        acc = staged(acc, "accepted")
+        p = acc.agg(F.max(f).alias("m")).crossJoin(F.broadcast(quantile(acc.filter(f > 0).select(f), "fitness_delta", percentile / 100).withColumnRenamed("quantile", "p")))  # one row each
         t = F.coalesce(F.col("p"), F.col("m") * 0.9)
         limit = p.select(F.when(F.abs(t) < 1e-10, 1e-6).otherwise(t).alias("threshold"))
     else:
@@ -166,6 +169,7 @@ def improvements(log: DataFrame, percentile: float = 75.0, least: float | None =
 def complexity_bins(log: DataFrame) -> DataFrame:
     """Accepted operations by the change of complexity (bins closed on the right at -5, -1, 0, 1, 5): count and moments of the gain."""
     c = F.col("complexity_delta")
+    # Names of the bins: fixed values.
     name = F.when(c <= -5, "large_decrease").when(c <= -1, "small_decrease").when(c <= 0, "no_change_neg").when(c <= 1, "no_change_pos").when(c <= 5, "small_increase").otherwise("large_increase")
     return log.filter(_yes() & c.isNotNull()).groupBy(name.alias("bin")).agg(F.count(_v("fitness_delta")).alias("n"), F.avg(_v("fitness_delta")).alias("avg_fitness_delta"), F.stddev_samp(_v("fitness_delta")).alias("std_fitness_delta"))
 

@@ -63,7 +63,11 @@ def split_block_counts(spark: SparkSession, d: str) -> DataFrame:
     return prep.blocks(grid(spark, d), "label", 5)
 
 
-@query()
+@query("SELECT CAST(label % 2 AS INT) AS label, CAST(40 AS BIGINT) AS train, true AS some_test, true AS apart FROM embeddings GROUP BY 1")
 def split_spatial_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy and random: checked by its invariants in the tests."""
-    return prep.spatial_split(grid(spark, d).select("row", "col", (F.col("label") % 2).alias("label")), "label", 4, 0.3, 1).select("row", "col", "label", "split")
+    """Whole blocks are drawn by chance; the quotas, test pixels on both sides and the distance between the sides are not."""
+    g = grid(spark, d).select("row", "col", (F.col("label") % 2).cast("int").alias("label"))
+    s = prep.spatial_split(g, "label", 40, size=4, buffer=1, seed=1).filter("split is not null")
+    near = windows.exclude_near(s.filter("split = 'test'"), s.filter("split = 'train'"), 1).withColumn("far", F.lit(1))
+    s = s.join(near.select("row", "col", "far"), ["row", "col"], "left")
+    return s.groupBy("label").agg(F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("train"), (F.sum(F.when(F.col("split") == "test", 1).otherwise(0)) > 0).alias("some_test"), F.min((F.col("split") == "train") | (F.col("far") == 1)).alias("apart"))

@@ -291,11 +291,13 @@ def pareto_front_sets(spark: SparkSession, d: str) -> DataFrame:
 # ---- log -----------------------------------------------------------------------------------------------
 
 _LOG = """l AS (SELECT *, regexp_replace(lower(trim(operation_name)), '[ -]', '_', 'g') AS op, coalesce(accepted, false) AS yes,
-    CASE WHEN isfinite(fitness_delta) THEN fitness_delta END AS f, CAST(complexity_delta AS DOUBLE) AS c, CAST(order_delta AS DOUBLE) AS o FROM evolution_log)"""
+    CASE WHEN isfinite(fitness_delta) THEN fitness_delta END AS f, CAST(complexity_delta AS DOUBLE) AS c, CAST(order_delta AS DOUBLE) AS o
+    FROM (SELECT * FROM evolution_log QUALIFY row_number() OVER (PARTITION BY run_id, entry_no ORDER BY ingested_at DESC, log_id DESC) = 1))"""
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.normalised(table(spark, d, "evolution_log"))
+    """Each entry once, as it was delivered last."""
+    return runlog.normalised(table(spark, d, "evolution_log"), ["run_id", "entry_no"])
 
 
 def _all_rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -312,7 +314,7 @@ def log_summary(spark: SparkSession, d: str) -> DataFrame:
     return _all_rounded(runlog.summary(_log(spark, d)))
 
 
-@query("SELECT operation_type AS value, count(*) AS n FROM evolution_log WHERE operation_type IS NOT NULL GROUP BY 1")
+@query(f"WITH {_LOG} SELECT operation_type AS value, count(*) AS n FROM l WHERE operation_type IS NOT NULL GROUP BY 1")
 def log_counts_by_type(spark: SparkSession, d: str) -> DataFrame:
     return runlog.counts(_log(spark, d), "operation_type")
 
@@ -401,6 +403,6 @@ def log_temperature_bins(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LOG} SELECT generation % 2 AS part, count(*) AS n, {_r('min(timestamp)', 'first')}, {_r('max(timestamp)', 'last')} FROM l GROUP BY 1")
 def log_merge(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "evolution_log")
+    log = _log(spark, d)
     both = runlog.merge(log.filter("generation % 2 = 0"), log.filter("generation % 2 = 1"))
     return both.groupBy((F.col("generation") % 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), rounded(F.min("timestamp")).alias("first"), rounded(F.max("timestamp")).alias("last"))

@@ -14,8 +14,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def latest_by(df: DataFrame, key: str, at: str, tie: str, columns: list[str]) -> DataFrame:
-    """One row for each ``key``: the values of ``columns`` in its row with the greatest ``at``, then ``tie``.
+def latest_by(df: DataFrame, key: str | list[str], at: str, tie: str, columns: list[str]) -> DataFrame:
+    """One row for each ``key`` (one column or several): the values of ``columns`` in its row with the greatest ``at``, then ``tie``.
 
     A null ``at`` counts as the earliest, a null ``tie`` as 0; rows with a null key are left out.
     The order is one decimal, and each value has its own max_by, so all aggregation buffers are of
@@ -27,10 +27,11 @@ def latest_by(df: DataFrame, key: str, at: str, tie: str, columns: list[str]) ->
     micros = F.unix_date(t.cast("date")).cast("long") * 86_400_000_000 + clock.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
     micros = F.coalesce(micros, F.lit(-(2**62)))
     order: Column = micros.cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + F.coalesce(F.col(tie), F.lit(0)).cast("decimal(19,0)")
+    keys = [key] if isinstance(key, str) else key
     return (
-        df.filter(F.col(key).isNotNull())
+        df.dropna(subset=keys)
         .withColumn("_order", order.cast("decimal(38,0)"))
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(*[F.max_by(F.col(c), F.col("_order")).alias(c) for c in columns])
     )
 

@@ -83,14 +83,55 @@ def test_standardise(spark):
         prep.standardise(d, ["x"], F.col("t"), F.col("x") < 2)
 
 
-def test_spatial_split(spark):
-    d = spark.createDataFrame([(r, c, (r // 8 + c // 8) % 2) for r in range(16) for c in range(16)], "row int, col int, label int")
-    s = prep.spatial_split(d, "label", 4, 0.3, 1).toPandas()
-    test = s[s.split == "test"]
-    train = s[s.split == "train"]
-    assert len(s) == 256 and set(test.label) == set(train.label) == {0, 1}
-    far = np.abs(train[["row", "col"]].to_numpy()[:, None] - test[["row", "col"]].to_numpy()[None]).max(2).min(1)
-    assert far.min() > 1
+@pytest.mark.parametrize(("size", "buffer"), [(4, 1), (4, 3), (3, 5)])
+def test_spatial_split(spark, size, buffer):
+    n = 28
+    d = spark.createDataFrame([(r, c, (r // 8 + c // 8) % 2 if (r + c) % 9 else None) for r in range(n) for c in range(n)], "row int, col int, label int")
+    s = prep.spatial_split(d, "label", 20, size=size, buffer=buffer, neighbour_penalty=0.5).toPandas()
+    assert len(s) == n * n and s[s.label.isna()].split.isna().all()
+    train, test = s[s.split == "train"], s[s.split == "test"]
+    assert (train.groupby("label").size() == 20).all() and set(test.label) == {0, 1}
+    assert s.equals(prep.spatial_split(d.repartition(5), "label", 20, size=size, buffer=buffer, neighbour_penalty=0.5).toPandas().set_index(["row", "col"]).loc[list(zip(s.row, s.col))].reset_index()[s.columns])
+    blocks = {(r // size, c // size) for r, c in zip(train.row, train.col)}
+    gap = lambda x, b: max(b * size - x, x - b * size - size + 1, 0)
+    assert all(max(gap(r, a), gap(c, b)) > buffer for r, c in zip(test.row, test.col) for a, b in blocks)
+    p = prep.spatial_split(d, "label", 30, per_class=False, size=size, buffer=buffer).toPandas()
+    assert (p.split == "train").sum() == 30
+
+
+def test_spatial_split_of_small_classes(spark):
+    d = spark.createDataFrame([(r, c, 1 if r < 2 and c < 3 else 0) for r in range(12) for c in range(12)], "row int, col int, label int")
+    with pytest.raises(ValueError):
+        prep.spatial_split(d, "label", 6, size=4, buffer=1)
+    s = prep.spatial_split(d, "label", 6, size=4, buffer=1, insufficient=True, min_test=4).toPandas()
+    one = s[s.label == 1]
+    assert (one.split == "train").sum() == 6 and (one.split == "test").sum() == 4  # all of them train, four test again
+    assert (s[s.label == 0].split == "train").sum() == 6
+
+
+def test_many_classes(spark):
+    d = spark.range(36_030).select("id", (F.col("id") % 12_010).alias("label"))
+    s = prep.split(d, "id", "label", 2).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in s} == {"train": 24_020, "test": 12_010}
+    got, table = prep.encode_labels(d.withColumn("label", F.concat(F.lit("c"), F.lpad(F.col("label").cast("string"), 6, "0"))), "label", "k")
+    assert table.count() == 12_010 and got.filter("k <> id % 12010").count() == 0
+
+
+def test_exact_quantile(spark):
+    from bandlens.plans.ordered import quantile
+
+    x = np.round(np.random.default_rng(0).exponential(size=997), 2)
+    d = spark.createDataFrame(pd.DataFrame({"x": x}))
+    for q in (0.0, 0.25, 0.731, 1.0):
+        assert np.isclose(quantile(d, "x", q).first()[0], np.quantile(x, q))
+    assert quantile(d.limit(0), "x", 0.5).first()[0] is None
+
+
+def test_moments_far_from_zero(spark):
+    x = np.random.default_rng(0).normal(size=400)
+    d = spark.createDataFrame(pd.DataFrame({"y": 1e9 + x, "p": 1e9 + 2 * x}))
+    assert np.isclose(d.agg(metrics.pearson(F.col("y"), F.col("p")).alias("r")).first()["r"], 1, atol=1e-6)
+    assert np.isclose(d.agg(metrics.r_squared(F.col("y"), F.col("y") + F.rint(F.col("y")) * 0).alias("r")).first()["r"], 1)
 
 
 def test_otsu(spark):
@@ -106,7 +147,7 @@ def test_otsu(spark):
 def test_batches_and_rectangles(spark):
     b = prep.mini_batches(spark.range(103), "id", 10).groupBy("batch").count().toPandas()["count"]
     assert sorted(b) == [3] + [10] * 10
-    assert len(prep.rectangles(10, 10, 8, 8)) == 9 and len(prep.rectangles(100, 100, 8, 8)) == 100
+    assert len(prep.rectangles(10, 10, 8, 8)) == 9 and len(set(prep.rectangles(1500, 700, 8, 8))) == 100
     assert np.isclose(np.mean([prep.poisson(2.0, np.random.default_rng(i)) for i in range(2000)]), 2.0, atol=0.15)
 
 
