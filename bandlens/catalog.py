@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandlens.queries import formulas, grids, nearby, search, tables  # noqa: F401 - they register their queries
+from bandlens.queries import exchange, formulas, grids, nearby, search, tables  # noqa: F401 - they register their queries
 from bandlens.queries.registry import QUERIES, SQL
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlens.plans.stages import staged
+from bandlens.plans.stages import discard, staged
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # Now every edge goes from a larger node to a smaller one.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small_star = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = staged(small_star.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        last, e = e, staged(small_star.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(now) == sums:
             break

@@ -38,7 +38,34 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/bandlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again (its own DataFrame, as :func:`staged` gave it)."""
+    path = getattr(df, "_staged_at", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables this process has staged, once their results have been used; how many there were."""
+    n = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return n
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:

@@ -85,6 +85,39 @@ def formula_deep_chain(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(rounded(F.avg("v"), 4).alias("mean"), rounded(F.min("v"), 4).alias("low"), rounded(F.max("v"), 4).alias("high"), F.count(F.lit(1)).alias("n"))
 
 
+# ---- operators at the edges of their guards ---------------------------------------------------------
+
+_NAN, _INF = float("nan"), float("inf")
+#: Operator, operands, value: missing, infinite and signed zero operands, and both sides of each limit.
+_EDGES = [
+    ("add", 9999999999.0, 0.5, 9999999999.5), ("add", 1e10, 0.0, 0.0), ("add", 5e9, 5e9, 0.0), ("add", _NAN, 1.0, 0.0), ("add", _INF, 1.0, 0.0), ("add", None, 1.0, 0.0), ("add", -0.0, 0.0, 0.0),
+    ("sub", 3.0, 1.0, 2.0), ("sub", -1e10, 0.0, 0.0), ("sub", _INF, _INF, 0.0), ("sub", None, None, 0.0),
+    ("mul", 1e5, 9e4, 9e9), ("mul", 1e5, 1e5, 0.0), ("mul", 1e10, 0.0, 0.0), ("mul", _INF, 0.0, 0.0), ("mul", _NAN, 2.0, 0.0),
+    ("div", 1.0, 0.0, 1.0), ("div", 1.0, -0.0, 1.0), ("div", 1.0, 1e-10, 1.0), ("div", 1.0, 2e-10, 5e9), ("div", 1e10, 1.0, 1.0), ("div", _NAN, 1.0, 1.0), ("div", 1.0, _INF, 0.0), ("div", None, 2.0, 1.0),
+    ("power", -2.0, 3.0, -8.0), ("power", -8.0, 0.5, 1.0), ("power", 0.0, -1.0, 1.0), ("power", 1e5, 1.0, 1.0), ("power", 2.0, 100.0, 1.0), ("power", 2.0, 10.0, 1024.0), ("power", _NAN, 1.0, 1.0), ("power", 1000.0, 4.0, 1.0),
+    ("log", 0.001, None, 0.0), ("log", 0.0011, None, -6.812445), ("log", -2.0, None, 0.693147), ("log", _NAN, None, 0.0), ("log", None, None, 0.0),
+    ("inv", 0.001, None, 0.0), ("inv", 0.002, None, 500.0), ("inv", -0.0, None, 0.0), ("inv", _NAN, None, 0.0), ("inv", _INF, None, 0.0),
+    ("sqrt", -4.0, None, 2.0), ("exp", 0.0, None, 1.0), ("exp", _NAN, None, _NAN), ("abs", -0.0, None, 0.0), ("neg", 0.0, None, 0.0),
+    ("maximum", _NAN, 1.0, _NAN), ("maximum", -1.0, 1.0, 1.0), ("minimum", _NAN, 1.0, _NAN), ("minimum", -1.0, 1.0, -1.0),
+    ("sigmoid", 88.0, None, 1.0), ("sigmoid", -88.0, None, 0.0), ("sigmoid", 0.0, None, 0.5), ("sigmoid", _INF, None, 1.0), ("softplus", 1000.0, None, 88.0), ("softplus", _NAN, None, _NAN), ("expsq", 100.0, None, 0.0), ("expsq", 0.0, None, 1.0),
+]
+
+
+def _sql_number(v: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST('{v!r}' AS DOUBLE)"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{o}', {_sql_number(w)})" for i, (o, _, _, w) in enumerate(_EDGES)) + ") AS t(case_no, operator, value)")
+def op_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The guards at NaN, infinities, nulls, signed zeros and on both sides of each limit."""
+    rows = spark.createDataFrame([(i, o, x, y) for i, (o, x, y, _) in enumerate(_EDGES)], "case_no int, operator string, x double, y double")
+    value = F.lit(None).cast("double")
+    for name in dict.fromkeys(e[0] for e in _EDGES):
+        operands = [F.col("x"), F.col("y")][: guards.operator(name).arity]
+        value = F.when(F.col("operator") == name, guards.apply(name, *operands)).otherwise(value)
+    return rows.select("case_no", "operator", rounded(value).alias("value"))
+
+
 # ---- bands ---------------------------------------------------------------------------------------
 
 _START, _END = 4, 35

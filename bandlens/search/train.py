@@ -32,7 +32,7 @@ from bandlens.expr.text import from_json, to_json
 from bandlens.operators.metrics import METRICS
 from bandlens.operators.prep import poisson
 from bandlens.plans.ship import ship
-from bandlens.plans.stages import staged
+from bandlens.plans.stages import discard, staged
 from bandlens.search.generate import Space
 from bandlens.search.islands import Formula, Island, Judge, Settings, out, with_penalty
 from bandlens.search.losses import LOSSES
@@ -179,6 +179,7 @@ def evaluate_tables(df: DataFrame, formulas: list[Formula], features: list[str],
         d = scored.select("_y", F.col(f"_p{i}").alias("_p"), "_w")
         r = (METRICS[metric].function(d, "_y", "_p", "_w") if metric == "spearman" else METRICS[metric].function(d, "_y", "_p")).first()[0]
         result.append(np.nan if r is None else float(r))
+    discard(scored)
     return result
 
 
