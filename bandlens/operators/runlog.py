@@ -156,7 +156,7 @@ def improvements(log: DataFrame, percentile: float = 75.0, least: float | None =
     acc = log.filter(_yes() & _v("fitness_delta").isNotNull())
     f = F.col("fitness_delta")
     if least is None:
-        acc = staged(acc, "accepted")
+        acc = staged(acc.select("operation_name", "fitness_delta", "complexity_delta"), "accepted")
         p = acc.agg(F.max(f).alias("m")).crossJoin(F.broadcast(quantile(acc.filter(f > 0).select(f), "fitness_delta", percentile / 100).withColumnRenamed("quantile", "p")))  # one row each
         t = F.coalesce(F.col("p"), F.col("m") * 0.9)
         limit = p.select(F.when(F.abs(t) < 1e-10, 1e-6).otherwise(t).alias("threshold"))
