@@ -16,6 +16,8 @@ from bandlens.functions.guards import operator
 from bandlens.operators import windows
 
 PREFIX = "_f"
+#: Levels through which filters on the result are pushed down; filter before scoring where a formula has more.
+SHALLOW = 2
 
 
 def with_formula(df: DataFrame, formula: Node | FormulaSet, out: str, array: str | None = None, row: str = "row", col: str = "col", by: list[str] | None = None) -> DataFrame:
@@ -66,6 +68,10 @@ def with_formula(df: DataFrame, formula: Node | FormulaSet, out: str, array: str
             df = df.select(*keep, *[column(n) for n in carried if n in needed], *guarded)
         done = [n for n in carried if n in needed] + now
     value = F.array(*[column(f) for f in formulas]) if isinstance(formula, FormulaSet) else column(formula)
+    if max(level.values(), default=0) > SHALLOW:
+        # Always so. But a projection that isn't deterministic takes no filters: one on the value would be
+        # written out through all levels, and guards mention their operands several times.
+        value = F.when(F.monotonically_increasing_id() >= 0, value)
     return df.select(*keep, value.alias(out))
 
 

@@ -154,3 +154,16 @@ def test_aggregations_on_arrays(spark):
     v = with_formula(d, parse("mean(v1-v4) + d1_max(v1-v4) - x0", NAMES), "v", array="bands").first()["v"]
     assert v == 2.75 + 3.0 - 1.0
     assert FormulaSet((None,)).order == 0
+
+
+def test_filters_on_the_value_of_a_deep_formula_do_not_grow_the_plan(spark):
+    import time
+
+    text = "x0"
+    for i in range(14):
+        text = f"(({text}) / (x1 + {i}.5))"
+    d = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0), (float("nan"), 1.0)], "x0 double, x1 double")
+    began = time.time()
+    v = with_formula(d, parse(text, ["x0", "x1"]), "v").filter("v > 0 and v < 100 and not isnan(v)")
+    assert v.count() == 3 and time.time() - began < 20
+    assert "x0" in with_formula(d, parse("x0 + x1", ["x0", "x1"]), "v").filter("x0 > 1")._jdf.queryExecution().optimizedPlan().toString().split("Project")[-1]
