@@ -164,7 +164,7 @@ def partition_space(points: DataFrame, metres: float, total: int) -> Leaves:
     """Leaves from a sample of at most ``SAMPLE`` locations, the first by a hash of their coordinates."""
     fraction = min(1.0, SAMPLE / max(total, 1))
     if fraction < 1:
-        points = points.filter(F.pmod(F.xxhash64("lon", "lat"), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000)))
+        points = points.filter(F.pmod(F.xxhash64("lon", "lat"), F.lit(2**62)) < F.lit(max(1, int(fraction * 2**62))))
     some = points.select("lon", "lat").limit(SAMPLE * 2).toPandas()
     # A leaf is at least four search boxes high, so most points have one leaf only.
     smallest = int(np.clip(np.floor(np.log2(180 / max(4 * np.degrees(metres / RADIUS), 1e-9))), 1, DEEPEST))
