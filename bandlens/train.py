@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from bandlens.estimators import FormulaClassifier, duration
-from bandlens.operators.prep import split, standardise
+from bandlens.operators.metrics import confusion
+from bandlens.operators.prep import spatial_split, split, standardise
 from bandlens.sources.formulas import write_archive
 
 
@@ -23,6 +24,17 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     data.add_argument("--label", default="label")
     data.add_argument("--features", nargs="+", required=True)
     data.add_argument("--train-size", type=float, default=100)
+    space = p.add_argument_group("spatial", "a split by whole blocks of pixels, and windows")
+    space.add_argument("--spatial", action="store_true", help="pixels: split by blocks instead of by rows")
+    space.add_argument("--row", default="row")
+    space.add_argument("--col", default="col")
+    space.add_argument("--by", nargs="*", default=[], help="columns that separate rasters")
+    space.add_argument("--block-size", type=int, default=10)
+    space.add_argument("--buffer", type=int, default=3)
+    space.add_argument("--neighbour-penalty", type=float, default=0.0)
+    space.add_argument("--min-test", type=int, default=0)
+    space.add_argument("--window-stats", nargs="*", default=[])
+    space.add_argument("--halves", nargs="*", type=int, default=[1])
     engine = p.add_argument_group("engine")
     engine.add_argument("--iterations", type=int, default=100)
     engine.add_argument("--populations", type=int, default=31)
@@ -35,6 +47,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     tune.add_argument("--stats", nargs="*", default=[])
     system = p.add_argument_group("system")
     system.add_argument("--seed", type=int, default=0)
+    system.add_argument("--save-every", type=int, default=0, help="generations after which the archive so far is written")
+    system.add_argument("--verbose", action="store_true")
     return p.parse_args(argv)
 
 
@@ -42,14 +56,33 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     a = arguments(argv)
     spark = spark or SparkSession.builder.appName("bandlens.train").getOrCreate()
     began = time.time()
-    rows = split(spark.read.parquet(a.table).select(a.key, a.label, *a.features), a.key, a.label, a.train_size, insufficient="both", seed=a.seed)
-    rows = standardise(rows, a.features, F.col("split") == "train")
+    raster = bool(a.window_stats)
+    place = [*a.by, a.row, a.col] if a.spatial or raster else []
+    rows = spark.read.parquet(a.table).select(*dict.fromkeys([a.key, a.label, *place, *a.features]))
+    if a.spatial:
+        rows = spatial_split(rows, a.label, int(a.train_size), size=a.block_size, buffer=a.buffer, neighbour_penalty=a.neighbour_penalty, insufficient=True, min_test=a.min_test, seed=a.seed, row=a.row, col=a.col)
+    else:
+        rows = split(rows, a.key, a.label, a.train_size, insufficient="both", min_test=a.min_test, seed=a.seed)
+    rows = standardise(rows, a.features, F.coalesce(F.col("split") == "train", F.lit(False)))
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    e = FormulaClassifier(a.features, iterations=a.iterations, populations=a.populations, population_size=a.population_size, cycles=a.cycles, max_complexity=a.max_complexity, operators=a.operators, optimiser=a.optimiser, stats=a.stats, seed=a.seed)
-    e.fit(train, a.label)
+
+    def save(search) -> None:
+        write_archive(e.archive(spark, True), f"{a.out}/generation={search.generation}")
+
+    windows = {"window_stats": a.window_stats, "halves": a.halves, "row": a.row, "col": a.col, "by": a.by} if raster else {}
+    e = FormulaClassifier(a.features, iterations=a.iterations, populations=a.populations, population_size=a.population_size, cycles=a.cycles, max_complexity=a.max_complexity, operators=a.operators, optimiser=a.optimiser, stats=a.stats, seed=a.seed, verbose=a.verbose, callbacks=[save] if a.save_every else None, callback_every=max(1, a.save_every), **windows)
+    # With windows all pixels are given, those that don't train without their labels: they are neighbours.
+    e.fit(rows.withColumn(a.label, F.when(F.col("split") == "train", F.col(a.label))) if raster else train, a.label)
+    if raster:
+        # Windows need all pixels: classes are predicted on the raster, and sides are taken afterwards.
+        scored = e.predict(rows, "_class_found")
+        train, test = scored.filter("split = 'train'"), scored.filter("split = 'test'")
     write_archive(e.archive(spark, True), f"{a.out}/archive")
     e.save(spark, f"{a.out}/model")
-    result = {"train_accuracy": e.score(train, a.label), "test_accuracy": e.score(test, a.label), "time": duration(time.time() - began), "config": vars(a), "classes": [r.asDict() for r in e.report(test, a.label).collect()]}
+    hit = lambda d: d.agg(F.avg((F.col("_class_found") == F.col(a.label)).cast("double"))).first()[0]
+    accuracy = hit if raster else lambda d: e.score(d, a.label)
+    report = confusion(test, a.label, "_class_found") if raster else e.report(test, a.label)
+    result = {"train_accuracy": accuracy(train), "test_accuracy": accuracy(test), "time": duration(time.time() - began), "config": vars(a), "classes": [r.asDict() for r in report.collect()]}
     spark.createDataFrame([(json.dumps(result, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/summary")
     return result
 

@@ -317,3 +317,18 @@ def test_pareto_of_sets():
     a = {(1, 5.0): (None, 1.0), (2, 3.0): (None, 2.0), (2, 6.0): (None, 1.0), (1, 7.0): (None, 0.5)}
     assert pareto(a) == {(1, 5.0), (2, 3.0), (1, 7.0)}
     assert duration(93784) == "1d:2h:3m:4s" and duration(60) == "1m" and duration(0) == "0s"
+
+
+@pytest.mark.parametrize("windows", [False, True])
+def test_command_line(spark, tmp_path, windows):
+    from bandlens.train import main
+
+    d = _raster(spark, 24).withColumn("k", F.when(F.col("y").isNotNull(), (F.col("y") > 1).cast("int"))).withColumn("id", F.monotonically_increasing_id())
+    d.write.parquet(str(tmp_path / "t"))
+    arguments = ["--table", str(tmp_path / "t"), "--out", str(tmp_path / "o"), "--key", "id", "--label", "k", "--features", *NAMES, "--train-size", "20", "--iterations", "2", "--populations", "2", "--population-size", "8", "--cycles", "5"]
+    if windows:
+        arguments += ["--spatial", "--block-size", "4", "--buffer", "1", "--by", "scene", "--window-stats", "max", "--save-every", "1", "--verbose"]
+    r = main(arguments, spark)
+    assert 0 <= r["test_accuracy"] <= 1 and spark.read.csv(str(tmp_path / "o" / "archive"), header=True).count() > 0
+    if windows:
+        assert (tmp_path / "o" / "generation=1").exists() and (tmp_path / "o" / "generation=2").exists()
