@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from bandlens.expr.ast import FormulaSet
+from bandlens.expr.ast import FormulaSet, with_constants
 from bandlens.expr.compile_numpy import evaluate
 from bandlens.expr.parse import parse
 from bandlens.functions.guards import operator
@@ -30,6 +30,11 @@ def test_quick_costs_agree_with_the_losses():
             assert judge.error(f) == np.float32(wanted)
             v = np.array(f.constants()) * 1.5
             assert judge.of_constants(f)(v) == judge.cost(f.with_constants(v.tolist()))
+        f = parse("(a * 2.5 + b) / (c - 0.25)", names)
+        judge = Judge(x, y, w, Settings())
+        assert judge.error(f) == np.float32(LOSSES["mse"](y, evaluate(f, x), w))
+        v = np.array([1.5, 0.75])
+        assert judge.of_constants(f)(v) == judge.cost(with_constants(f, v.tolist()))
 
 
 def test_guards_where_a_sum_of_squares_leaves_it_open():
