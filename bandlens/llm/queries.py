@@ -9,6 +9,8 @@ from bandlens.llm import cluster, cube, encode, language, mix, percentiles, vari
 from bandlens.sources.tables import table, water_records
 
 
+#: Records of a varied subset.
+SUBSET = 4000
 _SIDES = {"NIR": 0.0105, "SWIR1": 0.00025}
 
 
@@ -18,11 +20,11 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return varied.alone_records(_pixels(spark, d), "sample_id", "label", _SIDES).select("sample_id")
+    return varied.alone_records(_pixels(spark, d), SUBSET, "sample_id", "label", _SIDES)
 
 
 def p1_subset(spark: SparkSession, d: str) -> DataFrame:
-    return varied.varied_subset(_pixels(spark, d), 4000, "sample_id", "label", _SIDES)
+    return varied.varied_subset(_pixels(spark, d), SUBSET, "sample_id", "label", _SIDES)
 
 
 _BANDS = ["Blue", "Green", "Red", "SWIR2"]

@@ -61,6 +61,8 @@ def disperse(x: np.ndarray, kind: np.ndarray, fixed: np.ndarray, size: int, swap
         chosen[:] = False
         chosen[only[disperse(x[only], np.unique(kind[only], return_inverse=True)[1], np.zeros(len(only), bool), size, swaps)]] = True
         return chosen
+    if chosen.sum() == size:  # nothing is left to choose
+        return chosen
     # A kind's m-th record comes before any kind's (m + 1)-th.
     order = np.lexsort((np.arange(n), kind))
     first = np.concatenate([[True], kind[order][1:] != kind[order][:-1]])
@@ -236,16 +238,11 @@ def _celled(df: DataFrame, key: str, group: str, sides: dict[str, float]) -> tup
     return staged(rows, "varied-rows"), cells
 
 
-def alone_records(df: DataFrame, key: str, group: str, sides: dict[str, float]) -> DataFrame:
-    """Keys of all records that are alone in ``df``, however many (a subset has at most its size)."""
-    rows, cells = _celled(df, key, group, sides)
-    core = staged(core_set(rows, key, group, cells, list(sides), 1, list(sides.values())), "alone-core")
-    return alone(rows, core.filter("kind_n = 1"), key, group, sides)
-
-
-def varied_subset(df: DataFrame, size: int, key: str, group: str, sides: dict[str, float]) -> DataFrame:
+def varied_subset(df: DataFrame, size: int, key: str, group: str, sides: dict[str, float], grow: bool = False) -> DataFrame:
     """A subset of ``size`` rows: key, group, values, ``kind_n`` (records of its kind), ``alone``.
 
+    With ``grow`` the size is at least the number of alone records, so that all of them are in the subset.
+
     ``df`` has one row for each key; rows with a null key, group or value, or a NaN or infinite value,
     are left out, and extra columns are ignored. Fewer rows than ``size`` are all selected. A kind is covered if
     ``size`` allows. ``sides`` are the tolerances of the dimensions.
@@ -264,6 +261,7 @@ def varied_subset(df: DataFrame, size: int, key: str, group: str, sides: dict[st
     core = staged(core_set(rows, key, group, cells, values, keep, list(sides.values())), "varied-core")
     single = staged(alone(rows, core.filter("kind_n = 1"), key, group, sides), "varied-alone")
     lone = {r[group]: r["n"] for r in core.select(key, group).join(single, key, "left_semi").groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = max(size, sum(lone.values())) if grow else size
     budgets = dict(zip((g[group] for g in groups), shares([g["n"] for g in groups], [g["kinds"] for g in groups], size, [lone.get(g[group], 0) for g in groups]), strict=True))
     core = core.join(small(single.withColumn("alone", F.lit(True))), key, "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
     types, names = dict(core.dtypes), core.columns
@@ -296,3 +294,8 @@ def search_part(search):
         return search(rows.drop(columns="_part"))
 
     return run
+
+
+def alone_records(df: DataFrame, size: int, key: str, group: str, sides: dict[str, float]) -> DataFrame:
+    """Keys of all records that are alone in ``df``, however many: those of its varied subset of ``size``, or of as many as there are."""
+    return varied_subset(df, size, key, group, sides, grow=True).filter("alone").select(key)
